@@ -6,7 +6,7 @@ document without a table of names. Each symbol also carries the stretch of words
 where that stretch stands again, so does the symbol.
 
 Every window of `window` words picks one symbol whose stretch lies inside it: of the highest round, then the least hash, then
-the leftmost. Equal windows pick equal symbols at equal places, so only windows that pick a shared symbol can be equal.
+the leftmost. With some words beside it, the pick names the window. Equal windows pick equal symbols at equal places, so only windows that pick a shared symbol can be equal.
 Consecutive windows with one pick form a span. Spans with the same pick and the same words prove all their windows
 repeated at once; where picks are shared by spans of different words, the windows of these are compared one by one.
 """
@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import GOLDEN, TOP, Stages, docs_of, hash_words, mix, signed, utf8
 
-ROUNDS = 6
+ROUNDS = 3
 #: Words that a symbol may stand for; longer ones would seldom lie inside a window with all that they depend on.
 LONGEST = 12
+#: Words beside a pick that its name takes in: before it where the window has so many there, else behind it, where it has them then.
+BESIDE = 8
 #: Words that are parsed together, so that short documents share the cost of numpy calls. A longer document is parsed alone.
 TOGETHER = 200_000
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -106,15 +108,18 @@ def spans(h: np.ndarray, doc: np.ndarray, ends: np.ndarray, window: int):
     n = len(h)
     at = np.arange(n, dtype=np.int64)
     name, size, lo, hi, of = h, np.ones(n, dtype=np.int64), at, at + 1, doc
-    names, los, his, ranks = [], [], [], []
+    beside = max(0, min(BESIDE, (window - LONGEST) // 2))
+    names, los, his, ranks, places, sizes = [], [], [], [], [], []
     for r in range(ROUNDS):
         name, size, lo, hi, of = _round(name, size, lo, hi, of, r)
         fits = hi - lo <= window
         names.append(name[fits])
         los.append(lo[fits])
         his.append(hi[fits])
+        places.append((np.cumsum(size) - size)[fits])
+        sizes.append(size[fits])
         ranks.append(np.full(int(fits.sum()), ROUNDS - 1 - r, dtype=np.uint64))
-    name, lo, hi, rank = map(np.concatenate, (names, los, his, ranks))
+    name, lo, hi, rank, place, size = map(np.concatenate, (names, los, his, ranks, places, sizes))
     # Least pick over all windows that hold a symbol's stretch: two overlapping powers of two for each symbol, then halves.
     pick = rank << np.uint64(61) | (mix(name) >> np.uint64(31)) << np.uint64(28) | np.arange(len(name), dtype=np.uint64)
     start, stop = np.maximum(hi - window, 0), np.minimum(lo, n - 1)
@@ -137,19 +142,22 @@ def spans(h: np.ndarray, doc: np.ndarray, ends: np.ndarray, window: int):
     if not len(starts):
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 2
     won = won[starts]
+    symbol = np.where(won == TOP, 0, won & np.uint64((1 << 28) - 1)).astype(np.int64)
+    before = (place[symbol] if len(name) else starts) - starts >= beside
     fresh = np.ones(len(starts), dtype=bool)
-    fresh[1:] = (won[1:] != won[:-1]) | (starts[1:] != starts[:-1] + 1) | (won[1:] == TOP)
+    fresh[1:] = (won[1:] != won[:-1]) | (starts[1:] != starts[:-1] + 1) | (won[1:] == TOP) | (before[1:] != before[:-1])
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(starts)) - 1
-    s0, s1, won = starts[first], starts[last], won[first]
+    s0, s1, won, symbol, before = starts[first], starts[last], won[first], symbol[first], before[first]
     prefix = Prefix(h)
     words = prefix.of(s0, s1 + window)
     # A window without any symbol (it lies in a long run, say) is its own name.
+    chosen = words
     if len(name):
-        chosen = name[np.where(won == TOP, 0, won & np.uint64((1 << 28) - 1)).astype(np.int64)]
-        chosen = mix(chosen + (won >> np.uint64(61)))
-    else:
-        chosen = words
+        none = won == TOP
+        edge = np.where(none, s0, np.where(before, place[symbol] - beside, place[symbol] + size[symbol]))
+        near = prefix.of(edge, np.minimum(edge + beside, n))
+        chosen = mix(mix(name[symbol] + (won >> np.uint64(61)) * np.uint64(2) + before) * GOLDEN + near)
     return s0, s1, np.where(won == TOP, words, chosen), words
 
 
