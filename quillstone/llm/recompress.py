@@ -247,7 +247,10 @@ def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False)
     parsed = stages.put(parsed, "parsed")
     rows = parsed.select("k", F.explode(F.arrays_zip("s", "more", "name", "words")).alias("x")).select("k", "x.s", "x.more", "x.name", "x.words")
     often = rows.groupBy("name").agg(F.count("*").alias("n"), F.min("words").alias("least"), F.max("words").alias("most")).where("n > 1")
-    shared = stages.put(rows.join(often.select("name", (F.col("least") == F.col("most")).alias("alike")), "name"), "shared")
+    # Written first, so that the join below has a plain exchange on either side and Spark can split a name that many rows share.
+    often = stages.put(often.select("name", (F.col("least") == F.col("most")).alias("alike")), "often")
+    stages.tidy()
+    shared = stages.put(rows.join(often, "name"), "shared")
     stages.tidy()
 
     end = (F.col("s") + F.col("more") + F.lit(window)).alias("e")
@@ -260,7 +263,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False)
     single = texts.join(wanted, "k").groupBy("k").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
     looked = stages.put(single.mapInArrow(_windows(window), "k long, s int, name long, w long, single boolean"), "windows")
     stages.tidy()
-    twice = looked.groupBy("name", "w").agg(F.count("*").alias("n")).where("n > 1").select("name", "w")
+    twice = stages.put(looked.groupBy("name", "w").agg(F.count("*").alias("n")).where("n > 1").select("name", "w"), "twice")
     proven = proven.union(looked.where("single").join(twice, ["name", "w"], "left_semi").select("k", "s", (F.col("s") + F.lit(window)).alias("e")))
     covered = proven.groupBy("k").agg(F.collect_set(F.struct("s", "e")).alias("covered"))
     left = texts.join(covered, "k").mapInArrow(_remove(with_text), "k long, n_removed long, left_sha256 string, left_text string").dropDuplicates(["k"])

@@ -100,8 +100,9 @@ def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     return both.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (F.size("set_a") + F.size("set_b") - F.col("shared"))).select("a", "b")
 
 
-def _shared_keys(rows: DataFrame, key: str) -> DataFrame:
-    often = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+def _shared_keys(rows: DataFrame, key: str, stages: Stages) -> DataFrame:
+    """The rows whose key stands in others too. The keys are written first: then Spark can split a key that many rows share."""
+    often = stages.put(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "often")
     return rows.join(often, key, "left_semi")
 
 
@@ -120,12 +121,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, groups: i
     reps = signed_docs.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("groups").alias("groups"))
     reps = stages.put(reps, "representatives")
 
-    alive = _shared_keys(reps.select("rep", F.explode("groups").alias("g")), "g")
+    alive = _shared_keys(reps.select("rep", F.explode("groups").alias("g")), "g", stages)
     mine = alive.groupBy("rep").agg(F.sort_array(F.collect_set("g")).alias("g")).where("size(g) > 1")
+    mine = stages.put(mine, "groups")
     # Two groups make a table's key; a group's values carry its number, so equal keys mean equal tables.
     pairs = F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, F.size("g")), lambda y: F.xxhash64(x, y))))
-    tables = stages.put(_shared_keys(mine.select("rep", F.explode(pairs).alias("key")), "key"), "tables")
+    tables = stages.put(_shared_keys(mine.select("rep", F.explode(pairs).alias("key")), "key", stages), "tables")
     held = tables.groupBy("key").agg(F.count("*").alias("n"))
+    held = stages.put(held, "held")
     weight = tables.join(held, "key").groupBy("rep").agg(F.sum("n").alias("weight"))
     active = stages.put(tables.join(weight, "rep").select("key", "rep", "weight", F.col("rep").alias("component")), "active")
     tested = links = None
