@@ -9,7 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 MIX1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -78,14 +78,20 @@ class Stages:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/quillstone-{label}-{uuid.uuid4().hex}"
-        self.count = 0
+        self.written = 0
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        self.count += 1
-        path = f"{self.base}/{self.count:02d}-{name}"
+        self.written += 1
+        path = f"{self.base}/{self.written:02d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def count(self, df: DataFrame, name: str, what: Column | None = None) -> tuple[DataFrame, int]:
+        """put(), and how many of the rows written have `what`, without a job of its own."""
+        seen = Observation()
+        out = self.put(df.observe(seen, F.sum(F.lit(1) if what is None else F.when(what, 1).otherwise(0)).alias("n")), name)
+        return out, seen.get["n"] or 0
+
     def tidy(self) -> None:
         """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects its garbage."""
         gc.collect()

@@ -16,8 +16,8 @@ def components(edges: DataFrame, stages: Stages) -> DataFrame:
         seen = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         nearer = labels.join(seen, "node").select("node", "component", F.least("component", "m").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("component").alias("beyond"))
-        new = stages.put(nearer.join(jump, "next", "left").select("node", F.least("next", F.coalesce("beyond", "next")).alias("component"), F.col("component").alias("before")), "labels")
-        changed = new.where("component <> before").limit(1).count()
+        new = nearer.join(jump, "next", "left").select("node", F.least("next", F.coalesce("beyond", "next")).alias("component"), F.col("component").alias("before"))
+        new, changed = stages.count(new, "labels", F.col("component") != F.col("before"))
         stages.drop(labels)
         labels = new.select("node", "component")
         if not changed:

@@ -130,16 +130,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, groups: i
     held = tables.groupBy("key").agg(F.count("*").alias("n"))
     held = stages.put(held, "held")
     weight = tables.join(held, "key").groupBy("rep").agg(F.sum("n").alias("weight"))
-    active = stages.put(tables.join(weight, "rep").select("key", "rep", "weight", F.col("rep").alias("component")), "active")
+    active, left = stages.count(tables.join(weight, "rep").select("key", "rep", "weight", F.col("rep").alias("component")), "active")
     tested = links = None
     turn = 0
-    while active.limit(1).count():
+    while left:
         if turn == 0:
             centres = active.groupBy("key").agg(F.max(F.struct("weight", F.negative("rep").alias("rep"))).alias("x")).select("key", F.negative("x.rep").alias("a"))
             centres = centres.join(active.select("key", F.col("rep").alias("a"), F.col("component").alias("of")), ["key", "a"])
         else:
             order = Window.partitionBy("key").orderBy(F.desc("weight"), "rep")
-            centres = active.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 2**turn).select("key", F.col("rep").alias("a"), F.col("component").alias("of"))
+            centres = active.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 4 * 2**turn).select("key", F.col("rep").alias("a"), F.col("component").alias("of"))
         met = active.join(centres, "key").where("rep <> a and component <> of")
         new = met.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
         new = stages.put(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -150,7 +150,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, groups: i
         rest = active.join(centres.select("key", F.col("a").alias("rep")), ["key", "rep"], "left_anti").drop("component")
         rest = rest.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "weight", F.coalesce("component", "rep").alias("component"))
         apart = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        before, active = active, stages.put(rest.join(apart, "key", "left_semi"), "active")
+        before = active
+        active, left = stages.count(rest.join(apart, "key", "left_semi"), "active")
         stages.drop(before)
         turn += 1
     classes = reps.select("set_a", "set_b", "rep")
