@@ -1,11 +1,243 @@
-"""All queries of the engine by name, with their SQL."""
+"""All queries of the engine by name, with their SQL. Driver tables stand for documents, runs and events as SURVEY §7 maps them."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstone.functions import text as T
+from quillstone.operators import lineage, ordered
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def keep(f):
+        _QUERIES[f.__name__], _SQL[f.__name__] = f, sql
+        return f
+
+    return keep
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query(r"SELECT doc_id, sha256(replace(regexp_replace(replace(text, ' ', chr(13) || ' '), '\r\n?', chr(10), 'g'), chr(0), '')) AS cleaned, true AS changed FROM documents WHERE text LIKE '% %' UNION ALL SELECT doc_id, sha256(text), false FROM documents WHERE text NOT LIKE '% %'")
+def text_cleanup(spark, d):
+    raw = F.regexp_replace("text", " ", "\r ")
+    return _table(spark, d, "documents").select("doc_id", F.sha2(T.cleanup(raw), 256).alias("cleaned"), (T.cleanup(raw) != raw).alias("changed"))
+
+
+@query(r"SELECT doc_id, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS key_hash, sha256(lower(trim(regexp_replace(regexp_replace(text, '[0-9]', '', 'g'), '\s+', ' ', 'g')))) AS repeated_hash FROM documents")
+def text_keys(spark, d):
+    return _table(spark, d, "documents").select("doc_id", F.sha2(T.key(F.col("text")), 256).alias("key_hash"), F.sha2(T.repeated_key(F.col("text")), 256).alias("repeated_hash"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 600 THEN text ELSE left(text, 298) || chr(10) || '[…]' || chr(10) || right(text, 297) END AS middle, CASE WHEN length(text) <= 480 THEN text ELSE left(text, 239) || ' … ' || right(text, 238) END AS ranked, left(text, 40) AS prefix FROM documents")
+def text_excerpts(spark, d):
+    t = F.col("text")
+    return _table(spark, d, "documents").select("doc_id", T.middle_excerpt(t, 600).alias("middle"), T.ranking_excerpt(t).alias("ranked"), F.left(t, F.lit(40)).alias("prefix"))
+
+
+@query(r"SELECT doc_id, CAST(length(regexp_extract_all(text, '\S+')) AS BIGINT) AS n_words FROM documents")
+def word_counts(spark, d):
+    return _table(spark, d, "documents").select("doc_id", F.size(T.words(F.col("text"))).cast("long").alias("n_words"))
+
+
+@query(r"SELECT conv_id, turn, sha256(encode('normalized-block') || '\x00'::blob || encode(CAST(conv_id AS VARCHAR)) || '\x00'::blob || encode('v1') || '\x00'::blob || unhex(lpad(hex(turn + 1), 8, '0')) || unhex('00000000')) AS block_id FROM conversations WHERE trim(text) <> ''")
+def block_ids(spark, d):
+    rows = _table(spark, d, "conversations").where(F.trim("text") != "")
+    return rows.select("conv_id", "turn", T.block_id(F.col("conv_id").cast("string"), "v1", F.col("turn") + 1, F.lit(0)).alias("block_id"))
+
+
+@query("SELECT l_orderkey, CASE WHEN lo = hi THEN 'p. ' || lo ELSE 'pp. ' || lo || '–' || hi END AS label FROM (SELECT l_orderkey, min(l_linenumber) AS lo, max(l_linenumber) AS hi FROM lineitem GROUP BY 1)")
+def page_labels(spark, d):
+    pages = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("lo"), F.max("l_linenumber").alias("hi"))
+    return pages.select("l_orderkey", T.source_label(F.col("lo"), F.col("hi")).alias("label"))
+
+
+@query(r"SELECT p_partkey, CASE WHEN s LIKE '%.%' THEN regexp_replace(regexp_replace(regexp_replace(s, '^0+([0-9])', '\1'), '0+$', ''), '\.$', '') ELSE s END AS canonical FROM (SELECT p_partkey, '00' || CAST(p_size AS VARCHAR) || '.' || CAST(p_size % 7 AS VARCHAR) || '00' AS s FROM part)")
+def canonical_decimals(spark, d):
+    s = F.concat(F.lit("00"), F.col("p_size").cast("string"), F.lit("."), (F.col("p_size") % 7).cast("string"), F.lit("00"))
+    return _table(spark, d, "part").select("p_partkey", T.canonical_decimal(s).alias("canonical"))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '^([^.]*(\.[^.]*)?)', 1) AS version, (trim(url) <> '' AND strlen(url) <= 255 AND NOT regexp_matches(url, '[/\\\x00]')) AS valid FROM pages")
+def identifier_shapes(spark, d):
+    u = F.col("url")
+    return _table(spark, d, "pages").select("page_id", T.wire_version(u).alias("version"), T.valid_filename(u).alias("valid"))
+
+
+_TOKENS = r"list_transform(regexp_extract_all(text, '\S+'), lambda w: regexp_replace(regexp_replace(w, '^[,;:!?()\[\]{}\"''<>]+', ''), '[.,;:!?()\[\]{}\"''<>]+$', ''))"
+
+
+@query(rf"""SELECT doc_id, len(list_filter(w, lambda x: regexp_matches(x, '^[^@\s]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$'))) > 0 AS email,
+ len(list_filter(w, lambda x: regexp_matches(x, '^[0-9]{{1,4}}-[0-9]{{1,4}}-[0-9]{{1,4}}$|^[0-9]{{1,4}}/[0-9]{{1,4}}/[0-9]{{1,4}}$|^[0-9]{{1,4}}\.[0-9]{{1,4}}\.[0-9]{{1,4}}$'))) > 0 AS numeric_date,
+ len(list_filter(w, lambda x: strlen(x) BETWEEN 5 AND 64 AND regexp_matches(x, '^[A-Za-z]') AND regexp_matches(x, '[0-9].*[0-9]') AND regexp_matches(x, '[/-]'))) > 0 AS reference
+ FROM (SELECT doc_id, {_TOKENS} AS w FROM documents)""")
+def material_markers(spark, d):
+    t = F.col("text")
+    return _table(spark, d, "documents").select("doc_id", T.email_marker(t).alias("email"), T.numeric_date_marker(t).alias("numeric_date"), T.reference_marker(t).alias("reference"))
+
+
+@query(r"SELECT doc_id, regexp_matches(regexp_replace(text, '\s+$', ''), '([\p{L}\p{N}]|[\p{N}][%°$€£])[.!?。！？]+[\"''”’)\]]*$') AS complete, regexp_matches(lower(ltrim(text)), '^(unless|except|provided|subject to|however|only if|on condition|notwithstanding)([^a-z]|$)') AS qualified FROM documents")
+def completeness(spark, d):
+    t = F.col("text")
+    return _table(spark, d, "documents").select("doc_id", T.complete(t).alias("complete"), T.qualification(t).alias("qualified"))
+
+
+_NUMBERED = "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS n, l_quantity, l_partkey FROM lineitem"
+
+
+def _lines(spark, d):
+    rows = _table(spark, d, "lineitem")
+    return lineage.numbered(rows, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]).withColumn("n", F.col("sequence_no") + 1)
+
+
+@query(f"SELECT l_orderkey, n, CASE WHEN n % 5 = 0 THEN NULL ELSE CAST(n AS VARCHAR) END AS number FROM ({_NUMBERED})")
+def heading_signals(spark, d):
+    rows = _lines(spark, d).withColumn("text", F.concat(F.col("n").cast("string"), F.when(F.col("n") % 5 == 0, F.lit(". this is lower")).otherwise(F.lit(". Payment Terms")), F.lit("\nbody")))
+    return rows.select("l_orderkey", F.col("n").cast("long").alias("n"), F.array_join(T.heading_signal(F.col("text")), ".").alias("number"))
+
+
+@query("""WITH RECURSIVE b AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, turn, length(text) AS len FROM conversations),
+ f AS (SELECT conv_id, n, turn, len AS pending, 0 AS chunk FROM b WHERE n = 1 UNION ALL
+ SELECT b.conv_id, b.n, b.turn, CASE WHEN f.pending + 2 + b.len > 1200 THEN b.len ELSE f.pending + 2 + b.len END, CASE WHEN f.pending + 2 + b.len > 1200 THEN f.chunk + 1 ELSE f.chunk END FROM f JOIN b ON b.conv_id = f.conv_id AND b.n = f.n + 1)
+ SELECT conv_id, turn, CAST(chunk AS BIGINT) AS chunk FROM f""")
+def chunk_packing(spark, d):
+    blocks = _table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("len"))
+    return ordered.pack(blocks, "conv_id", ["turn"], "len", 1200).select("conv_id", "turn", "chunk")
+
+
+_DECORATED = "SELECT conv_id, turn, unnest(string_split('MASTER SERVICE AGREEMENT' || chr(10) || text || chr(10) || 'Page ' || CAST(turn + 1 AS VARCHAR) || ' of 9', chr(10))) AS line FROM conversations"
+
+
+@query(rf"""WITH l AS (SELECT conv_id, turn, lower(trim(regexp_replace(regexp_replace(line, '[0-9]', '', 'g'), '\s+', ' ', 'g'))) AS line_key FROM ({_DECORATED})),
+ p AS (SELECT conv_id, count(DISTINCT turn) AS pages FROM l GROUP BY 1), c AS (SELECT conv_id, line_key, count(DISTINCT turn) AS on_pages FROM l GROUP BY 1, 2)
+ SELECT conv_id, line_key, on_pages, pages FROM c JOIN p USING (conv_id) WHERE on_pages >= greatest(2, pages // 2 + 1)""")
+def page_furniture(spark, d):
+    page = F.concat(F.lit("MASTER SERVICE AGREEMENT\n"), F.col("text"), F.lit("\nPage "), (F.col("turn") + 1).cast("string"), F.lit(" of 9"))
+    lines = _table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.split(page, "\n")).alias("line")).select("conv_id", "turn", T.repeated_key(F.col("line")).alias("line_key"))
+    return ordered.repeated_lines(lines, "conv_id", "turn", "line_key").select("conv_id", "line_key", "on_pages", "pages")
+
+
+@query(f"SELECT l_orderkey, n FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS c FROM ({_NUMBERED})) WHERE n IN (1, (c + 1) // 2, c)")
+def page_balanced_sources(spark, d):
+    return ordered.balanced(_lines(spark, d), "l_orderkey", ["n"]).select("l_orderkey", F.col("n").cast("long").alias("n"))
+
+
+@query(f"""SELECT DISTINCT l_orderkey, n FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS c FROM ({_NUMBERED})), (SELECT unnest(range(3)) AS slot)
+ WHERE slot < least(c, 3) AND n - 1 = CASE WHEN least(c, 3) <= 1 THEN 0 ELSE slot * (c - 1) // (least(c, 3) - 1) END""")
+def evenly_spaced_pages(spark, d):
+    return ordered.evenly_spaced(_lines(spark, d), "l_orderkey", ["n"], 3).select("l_orderkey", F.col("n").cast("long").alias("n"))
+
+
+@query("SELECT conv_id, turn, CAST(used AS BIGINT) AS used FROM (SELECT conv_id, turn, sum(strlen(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn) - 2 AS used FROM conversations) WHERE used <= 1500")
+def delivery_prefix(spark, d):
+    return ordered.prefix_within(_table(spark, d, "conversations"), "conv_id", ["turn"], F.octet_length("text"), 1500).select("conv_id", "turn", "used")
+
+
+@query("""WITH b AS (SELECT c_nationkey AS k, c_mktsegment AS batch, count(*) AS size FROM customer GROUP BY 1, 2), a AS (SELECT *, 8 - count(*) OVER (PARTITION BY k) AS remaining FROM b),
+ m AS (SELECT a.k, a.batch, a.remaining, row_number() OVER (PARTITION BY a.k ORDER BY size / d DESC, a.batch) AS r FROM a, (SELECT unnest(range(2, 9)) AS d) WHERE d <= size)
+ SELECT a.k AS c_nationkey, a.batch, a.size, 1 + (SELECT count(*) FROM m WHERE m.k = a.k AND m.batch = a.batch AND m.r <= m.remaining) AS quota FROM a""")
+def shortlist_quotas(spark, d):
+    b = _table(spark, d, "customer").groupBy("c_nationkey", F.col("c_mktsegment").alias("batch")).agg(F.count("*").alias("size"))
+    return ordered.quotas(b, "c_nationkey", "batch", "size", 8)
+
+
+_LOG = "SELECT user_id, event_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sequence_no FROM events"
+
+
+def _log(spark, d):
+    return lineage.numbered(_table(spark, d, "events").select("user_id", "event_id", "ts", "event_type"), "user_id", ["ts", "event_id"])
+
+
+@query(f"SELECT user_id, event_id, event_type, sequence_no FROM ({_LOG})")
+def event_history(spark, d):
+    return _log(spark, d).select("user_id", "event_id", "event_type", F.col("sequence_no").cast("long").alias("sequence_no"))
+
+
+@query(f"SELECT user_id, max(sequence_no) AS sequence_no, arg_max(event_type, sequence_no) AS event_type FROM ({_LOG}) GROUP BY 1")
+def latest_run_state(spark, d):
+    return lineage.latest(_log(spark, d), "user_id", "event_type").select("user_id", F.col("sequence_no").cast("long").alias("sequence_no"), "event_type")
+
+
+@query("SELECT user_id, count(*) AS next_sequence FROM events GROUP BY 1")
+def next_sequence(spark, d):
+    return _log(spark, d).groupBy("user_id").agg((F.coalesce(F.max("sequence_no"), F.lit(-1)) + 1).cast("long").alias("next_sequence"))
+
+
+_EDGES = [("signup", "view"), ("view", "click"), ("click", "purchase"), ("view", "view"), ("view", "error"), ("click", "view")]
+
+
+@query(f"SELECT event_id, before, after FROM (SELECT event_id, event_type AS after, lag(event_type) OVER (PARTITION BY user_id ORDER BY sequence_no) AS before FROM ({_LOG})) WHERE before IS NOT NULL AND (before, after) NOT IN ({', '.join(map(str, _EDGES))})")
+def invalid_transitions(spark, d):
+    return lineage.invalid_transitions(_log(spark, d), "user_id", "event_type", spark.createDataFrame(_EDGES, "before string, after string")).select("event_id", "before", "after")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 30")
+def recent_runs(spark, d):
+    return lineage.recent(_table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def runs_without_child(spark, d):
+    return _table(spark, d, "customer").select("c_custkey").join(_table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+def runs_with_child(spark, d):
+    return _table(spark, d, "customer").select("c_custkey").join(_table(spark, d, "orders").where("o_orderstatus = 'F'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+
+
+@query("SELECT a.o_orderkey AS retry_run, b.o_orderkey AS source_run FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey - 1 AND a.o_custkey % 10 = b.o_custkey % 10")
+def retry_lineage(spark, d):
+    o = _table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 10).alias("doc"))
+    return o.alias("a").join(o.alias("b"), (F.col("b.o_orderkey") == F.col("a.o_orderkey") - 1) & (F.col("a.doc") == F.col("b.doc"))).select(F.col("a.o_orderkey").alias("retry_run"), F.col("b.o_orderkey").alias("source_run"))
+
+
+@query("""SELECT l_orderkey, total, cited, omitted, cited * 2 >= total AS raw_ok, total > omitted AND cited * 5 >= (total - omitted) * 3 AS adjusted_ok, least(total, (3 * total + 4) // 5 + 16, 512) AS retained
+ FROM (SELECT l_orderkey, count(DISTINCT l_linenumber) AS total, count(DISTINCT CASE WHEN l_returnflag = 'N' THEN l_linenumber END) AS cited, count(DISTINCT CASE WHEN l_linestatus = 'F' AND l_returnflag <> 'N' THEN l_linenumber END) AS omitted FROM lineitem GROUP BY 1)""")
+def page_coverage(spark, d):
+    n = F.col("l_linenumber")
+    g = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.countDistinct(n).alias("total"), F.countDistinct(F.when(F.col("l_returnflag") == "N", n)).alias("cited"), F.countDistinct(F.when((F.col("l_linestatus") == "F") & (F.col("l_returnflag") != "N"), n)).alias("omitted"))
+    return g.select("l_orderkey", "total", "cited", "omitted", F.expr("cited * 2 >= total").alias("raw_ok"), F.expr("total > omitted and cited * 5 >= (total - omitted) * 3").alias("adjusted_ok"), F.expr("least(total, (3 * total + 4) div 5 + 16, 512)").alias("retained"))
+
+
+@query("SELECT event_type AS stage, count(*) AS requests, CAST(sum(event_id) AS BIGINT) AS tokens FROM events GROUP BY 1 UNION ALL SELECT 'all', count(*), CAST(sum(event_id) AS BIGINT) FROM events")
+def attempt_totals(spark, d):
+    totals = _table(spark, d, "events").rollup("event_type").agg(F.count("*").alias("requests"), F.sum("event_id").alias("tokens"))
+    return totals.select(F.coalesce("event_type", F.lit("all")).alias("stage"), "requests", "tokens")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+def citation_closure(spark, d):
+    claims = _table(spark, d, "orders").select("o_orderkey")
+    cited = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    return claims.join(cited, "o_orderkey", "left_anti").union(cited.join(claims, "o_orderkey", "left_anti"))
+
+
+@query("SELECT p_partkey, least(16000, 3 * (p_size * 200 - 256 - 512)) AS ranker_limit, p_size * 20 <= 700 AS fits, 64 + (23 * p_size * 8 + 99) // 100 + 256 AS response_tokens FROM part")
+def request_budget(spark, d):
+    return _table(spark, d, "part").selectExpr("p_partkey", "least(16000, 3 * (p_size * 200 - 256 - 512)) as ranker_limit", "p_size * 20 <= 700 as fits", "64 + (23 * p_size * 8 + 99) div 100 + 256 as response_tokens")
+
+
+@query("SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1")
+def profile_conflicts(spark, d):
+    return _table(spark, d, "orders").groupBy("o_custkey").agg(F.countDistinct("o_orderpriority").alias("n")).where("n > 1").select("o_custkey")
+
+
+@query("SELECT conv_id, string_agg(role || ':' || turn, ';' ORDER BY turn) AS warnings FROM conversations GROUP BY 1")
+def warning_rollup(spark, d):
+    rows = _table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("x"))
+    return rows.select("conv_id", F.array_join(F.transform("x", lambda r: F.concat(r["role"], F.lit(":"), r["turn"].cast("string"))), ";").alias("warnings"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
