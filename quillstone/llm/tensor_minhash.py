@@ -5,8 +5,8 @@ the square root of the usual number of minhashes gives all tables. Documents tha
 link is confirmed on the full shingle sets. At a similarity of 0.8 a pair fails to meet in any of the 276 tables about once
 in 14,000; at 0.85, once in 2,000,000.
 
-Candidates of a table aren't paired with each other: a centre is compared with the rest, what links becomes one component,
-and only members that are still apart go on, with other centres, until no two of them are both apart and not compared.
+Candidates of a table aren't paired with each other: a centre is compared with the rest, and what links becomes one component.
+Members that are still apart are compared where they share one of their rarest shingles early enough, as all that link do.
 """
 
 from __future__ import annotations
@@ -90,14 +90,62 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, set array<long>")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _agree(percent: int):
+    """Keeps the pairs whose sets share `percent` of their union; sets are sorted and distinct."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (x, xs), (y, ys) = ((c.flatten().to_numpy(), (c.offsets.to_numpy() - c.offsets[0].as_py()).tolist()) for c in (batch.column(2), batch.column(3)))
+            keep = []
+            for i in range(batch.num_rows):
+                u, v = x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]]
+                both = np.concatenate((u, v))
+                both.sort()
+                n = int(np.count_nonzero(both[1:] == both[:-1]))
+                keep.append(100 * n >= percent * (len(both) - n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int, stages: Stages) -> DataFrame:
     """Those of pairs (a, b) whose full sets share percent of their union."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = _sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size)
+    sets = stages.put(_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
     both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (F.size("set_a") + F.size("set_b") - F.col("shared"))).select("a", "b")
+    found = stages.put(both.select("a", "b", "set_a", "set_b").mapInArrow(_agree(percent), "a long, b long"), "links")
+    stages.drop(sets)
+    return found
+
+
+def _still_apart(rest: DataFrame, docs: DataFrame, size: int, percent: int, stages: Stages) -> DataFrame:
+    """Pairs (a, b) that may link, of documents (key, rep, size, component) that met in a table but are in different components.
+
+    With shingles in one order, the rarest first, a pair that links shares one among the first of both, so early that what
+    follows can still make up the overlap it needs. No pair that links is left out, and documents that are merely alike
+    don't come up: what sets them apart is rare and stands first. One side holds only documents outside the largest
+    component of a table they are in, so a large group isn't paired with itself.
+    """
+    sizes = rest.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = stages.put(sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("x")).select("key", F.col("x.component").alias("largest")), "largest")
+    members = rest.join(largest, "key").groupBy("rep", "component", "size").agg(F.max((F.col("component") != F.col("largest")).cast("int")).alias("outside"))
+    members = stages.put(members, "members")
+    sets = _sets(docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size)
+    rows = stages.put(sets.select(F.col("doc_id").alias("rep"), F.explode("set").alias("x")), "shingles")
+    often = stages.put(rows.groupBy("x").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    # A shingle that one document alone holds can't be shared; it takes a place before the others all the same.
+    held = rows.join(often, "x").join(members, "rep")
+    alone = rows.groupBy("rep").agg(F.count("*").alias("all")).join(held.groupBy("rep").agg(F.count("*").alias("shared")), "rep").select("rep", (F.col("all") - F.col("shared")).alias("alone"))
+    order = Window.partitionBy("rep").orderBy("n", "x")
+    placed = held.withColumn("r", F.row_number().over(order)).join(alone, "rep").withColumn("place", F.col("r") + F.col("alone") - 1)
+    first = stages.put(placed.where(f"place < size - ({percent} * size + 99) div 100 + 1").select("x", "rep", "component", "size", "place", "outside"), "prefixes")
+    other = first.toDF("x", "b", "component_b", "size_b", "place_b", "outside_b")
+    one = first.where("outside = 1").toDF("x", "a", "component_a", "size_a", "place_a", "outside_a")
+    met = one.join(other, "x").where("component_a <> component_b and (outside_b = 0 or a < b)")
+    met = met.where(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
+    met = met.where(f"{100 + percent} * (1 + least(size_a - place_a, size_b - place_b) - 1) >= {percent} * (size_a + size_b)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _shared_keys(rows: DataFrame, key: str, stages: Stages) -> DataFrame:
@@ -118,7 +166,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, groups: i
     docs = docs_of(docs)
     stages = Stages(spark, "near")
     signed_docs = stages.put(_signatures(docs, size, groups, width), "signatures")
-    reps = signed_docs.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("groups").alias("groups"))
+    reps = signed_docs.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("groups").alias("groups"), F.first("n_shingles").alias("size"))
     reps = stages.put(reps, "representatives")
 
     alive = _shared_keys(reps.select("rep", F.explode("groups").alias("g")), "g", stages)
@@ -130,30 +178,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, groups: i
     held = tables.groupBy("key").agg(F.count("*").alias("n"))
     held = stages.put(held, "held")
     weight = tables.join(held, "key").groupBy("rep").agg(F.sum("n").alias("weight"))
-    active, left = stages.count(tables.join(weight, "rep").select("key", "rep", "weight", F.col("rep").alias("component")), "active")
-    tested = links = None
-    turn = 0
-    while left:
-        if turn == 0:
-            centres = active.groupBy("key").agg(F.max(F.struct("weight", F.negative("rep").alias("rep"))).alias("x")).select("key", F.negative("x.rep").alias("a"))
-            centres = centres.join(active.select("key", F.col("rep").alias("a"), F.col("component").alias("of")), ["key", "a"])
-        else:
-            order = Window.partitionBy("key").orderBy(F.desc("weight"), "rep")
-            centres = active.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 4 * 2**turn).select("key", F.col("rep").alias("a"), F.col("component").alias("of"))
-        met = active.join(centres, "key").where("rep <> a and component <> of")
-        new = met.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-        new = stages.put(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = stages.put(_linked(new, docs, size, percent), "links")
-        links = found if links is None else links.union(found)
-        tested = new if tested is None else tested.union(new)
+    weight = weight.join(reps.select("rep", "size"), "rep")
+    active, left = stages.count(tables.join(weight, "rep").select("key", "rep", "weight", "size", F.col("rep").alias("component")), "active")
+    links = None
+    if left:
+        centres = active.groupBy("key").agg(F.max(F.struct("weight", F.negative("rep").alias("rep"))).alias("x")).select("key", F.negative("x.rep").alias("a"))
+        centres = stages.put(centres, "centres")
+        met = active.join(centres, "key").where("rep <> a")
+        tested = stages.put(met.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "pairs")
+        links = _linked(tested, docs, size, percent, stages)
+        label = components(links, stages)
+        rest = active.join(centres.withColumnRenamed("a", "rep"), ["key", "rep"], "left_anti").drop("component")
+        rest = rest.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("component"))
+        rest = stages.put(rest, "rest")
+        apart = stages.put(rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "apart")
+        rest, left = stages.count(rest.join(apart, "key", "left_semi"), "active")
+    if left:
+        more = _still_apart(rest, docs, size, percent, stages).join(tested, ["a", "b"], "left_anti")
+        links = stages.put(links.union(_linked(stages.put(more, "pairs"), docs, size, percent, stages)), "links")
         label = components(links, stages)
-        rest = active.join(centres.select("key", F.col("a").alias("rep")), ["key", "rep"], "left_anti").drop("component")
-        rest = rest.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "weight", F.coalesce("component", "rep").alias("component"))
-        apart = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        before = active
-        active, left = stages.count(rest.join(apart, "key", "left_semi"), "active")
-        stages.drop(before)
-        turn += 1
     classes = reps.select("set_a", "set_b", "rep")
     if links is not None:
         classes = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("class"))
