@@ -32,23 +32,33 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
     if not words:
         return np.empty(0, dtype=np.uint64)
     h = hash_words(words)
-    return np.unique(gram_hashes(h, min(size, len(words))))
+    u = np.sort(gram_hashes(h, min(size, len(words))))
+    return u[np.concatenate([[True], u[1:] != u[:-1]])]
 
 
 class Signer:
+    """The values of a set's groups. Shingle hashes are well mixed, so an odd multiple of half of their bits orders them as
+    a random permutation would; 32-bit values go through numpy's vector instructions."""
+
     def __init__(self, groups: int, width: int, seed: int = 1):
         n = groups * width
         self.groups, self.width = groups, width
-        self.flip = mix(np.arange(1, n + 1, dtype=np.uint64) * GOLDEN + np.uint64(seed))[:, None]
-        self.times = (mix(self.flip + np.uint64(7)) | np.uint64(1))
+        keys = mix(np.arange(1, n + 1, dtype=np.uint64) * GOLDEN + np.uint64(seed))
+        self.flip = (keys >> np.uint64(32)).astype(np.uint32)[:, None]
+        self.times = (mix(keys + np.uint64(7)) >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
         self.tag = mix(np.arange(1, groups + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.room = np.empty((n, 1024), dtype=np.uint32)
 
     def __call__(self, u: np.ndarray) -> np.ndarray:
-        least = np.full(len(self.flip), np.iinfo(np.uint64).max, dtype=np.uint64)
-        for lo in range(0, len(u), 1024):
-            x = (u[None, lo : lo + 1024] ^ self.flip) * self.times
-            np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=1), out=least)
-        least = least.reshape(self.groups, self.width)
+        least = np.full(len(self.flip), np.iinfo(np.uint32).max, dtype=np.uint32)
+        half = u.astype(np.uint32)  # the low 32 bits
+        for lo in range(0, len(half), 1024):
+            part = half[None, lo : lo + 1024]
+            x = self.room[:, : part.shape[1]]
+            np.bitwise_xor(part, self.flip, out=x)
+            np.multiply(x, self.times, out=x)
+            np.minimum(least, x.min(axis=1), out=least)
+        least = least.astype(np.uint64).reshape(self.groups, self.width)
         out = self.tag.copy()
         for j in range(self.width):
             out = mix(out * GOLDEN + least[:, j])
