@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 #: White space of Unicode, and words that give a sentence legal force.
 BLANK = "[\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
-OPERATIVE = ("shall", "must", "may", "will", "agree", "agrees", "required", "requires", "obligated", "entitled")
+OPERATIVE = ("shall", "must", "may", "unless", "except", "provided", "if", "when", "requires", "required")
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+LABELS = ("confidential", "internal use only", "draft")
+TITLE_KINDS = ("agreement", "contract", "report", "manual", "guide")
+CONNECTORS = ("and", "or", "of", "the", "to", "for", "in", "with", "a", "an")
+NEGATIONS = ("not", "no", "never", "without", "cannot")
+BEFORE_T = ("isn", "aren", "wasn", "weren", "don", "doesn", "didn", "won", "wouldn", "shouldn", "couldn", "mustn", "hasn", "haven", "hadn", "can")
+CLAIM_LIMIT = 384
 
 
 def cleanup(s: Column) -> Column:
@@ -83,11 +91,12 @@ def reference_marker(s: Column) -> Column:
 
 
 def material_marker(s: Column) -> Column:
-    return email_marker(s) | numeric_date_marker(s) | reference_marker(s)
+    return email_marker(s) | numeric_date_marker(s) | named_date_marker(s) | reference_marker(s)
 
 
 def operative(s: Column) -> Column:
-    return F.arrays_overlap(F.transform(tokens(s), F.lower), F.array(*map(F.lit, OPERATIVE)))
+    """Holds a word, between characters that aren't letters or digits, that gives a sentence legal force."""
+    return key(s).rlike(f"(?<![\\p{{L}}\\p{{N}}])({'|'.join(OPERATIVE)})(?![\\p{{L}}\\p{{N}}])")
 
 
 def qualification(s: Column) -> Column:
@@ -118,9 +127,90 @@ def heading_signal(s: Column) -> Column:
 
 def page_number(s: Column, page: Column) -> Column:
     """A line that is the number of its page: n, page n, n of m or n/m with m at least n."""
-    found = F.regexp_extract(F.lower(F.trim(s)), "^(?:page )?([0-9]{1,9})(?: ?(?:of|/) ?([0-9]{1,9}))?$", 1).try_cast("long")
-    last = F.regexp_extract(F.lower(F.trim(s)), "^(?:page )?([0-9]{1,9})(?: ?(?:of|/) ?([0-9]{1,9}))?$", 2).try_cast("long")
-    return F.coalesce((found == page) & F.coalesce(last >= found, F.lit(True)), F.lit(False))
+    line, shape = key(s), "^(?:page )?([0-9]+)(?:(?: of | / |/)\\+?([0-9]+))?$"
+    total = F.regexp_extract(line, shape, 2)
+    return (F.regexp_extract(line, shape, 1) == page.cast("string")) & ((total == "") | F.coalesce(total.try_cast("long") >= page, F.lit(False)))
+
+
+def numbered_line(s: Column) -> Column:
+    """A line that opens with a heading's number, a section sign before it or not."""
+    return F.trim(s).rlike("^§? ?[0-9]+(\\.[0-9]+)*[.)]?\\s+\\S")
+
+
+def running_label(s: Column, page: Column) -> Column:
+    """A short unpunctuated line of no legal force: a marking, a label before its page number, or a document's title in capitals."""
+    line = F.trim(s)
+    plain = (F.octet_length(line) <= 120) & (F.size(words(line)) <= 12) & ~numbered_line(line) & ~operative(line) & ~line.rlike("[.;!?$€]")
+    parts = F.regexp_extract(key(line), "^.* \\| (.*)$", 1)
+    title = ~line.rlike("\\p{L}(?<!\\p{Lu})") & key(line).rlike(f"({'|'.join(TITLE_KINDS)})$")
+    return plain & (key(line).isin(*LABELS) | ((parts != "") & page_number(parts, page)) | title)
+
+
+def filing_label(s: Column) -> Column:
+    """exhibit and an identifier of dotted ASCII letters and digits, with a digit."""
+    return key(s).rlike("^exhibit (?=[^ ]*[0-9])[a-z0-9]+(\\.[a-z0-9]+)*$")
+
+
+def date_label(s: Column) -> Column:
+    """An optional weekday, a month, a day from 1 to 31 and a year of four digits."""
+    return key(s).rlike(f"^(?:({'|'.join(WEEKDAYS)}),* )?({'|'.join(MONTHS)}) \\+?0*([1-9]|[12][0-9]|3[01]),* [0-9]{{4}}$")
+
+
+def named_date_marker(s: Column) -> Column:
+    """Month, day and year in three tokens that follow each other, marks around them aside."""
+    w = tokens(s)
+    ends = lambda x: F.regexp_replace(x, "^\\.+|\\.+$", "")
+    at = lambda i: F.lower(w[i]).isin(*MONTHS) & ends(w[i + 1]).rlike("^[0-9]{1,2}$") & ends(w[i + 2]).rlike("^([0-9]{2}|[0-9]{4})$")
+    return (F.size(w) >= 3) & F.exists(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), at)
+
+
+def date_stamp(s: Column) -> Column:
+    """A whole page that is a date and a stamp: 03/10/03 A-4."""
+    return (F.length(s) <= 32) & F.trim(s).rlike("^[0-9]{1,2}/[0-9]{1,2}/([0-9]{2}|[0-9]{4})\\s+[A-Za-z]{1,2}-[0-9]{1,3}$")
+
+
+def multi_letter_word(s: Column) -> Column:
+    """Two letters together; combining marks may stand between."""
+    return s.rlike("\\p{L}\\p{M}*\\p{L}")
+
+
+def filing_header(s: Column) -> Column:
+    """The line above a filed exhibit: EX- and a dotted number, a number, a file name."""
+    n = F.size(words(s))
+    return n.between(3, 30) & ~operative(s) & F.trim(s).rlike("^EX-[0-9]+(\\.[0-9]+)*\\s+[0-9]+\\s+[A-Za-z0-9._-]*\\.(?i:html?|txt)(\\s|$)")
+
+
+def label_value(s: Column) -> Column:
+    """The value of a "label: value" line; null where the label isn't 1 to 8 words, or opens with a number."""
+    label, value = F.regexp_extract(F.trim(s), "^([^:]*):", 1), F.regexp_extract(F.trim(s), "(?s)^[^:]*:(.*)$", 1)
+    fits = F.size(words(label)).between(1, 8) & label.rlike("^[^\\p{L}\\p{N}]*\\p{L}") & label.rlike("^[\\p{L}\\p{N}\\s/()'’&#-]+$")
+    return F.when(fits & (F.trim(value) != ""), value)
+
+
+def clause_title(s: Column) -> Column:
+    """Words in title case or capitals, connectors aside; a final full stop or colon doesn't count."""
+    line = F.regexp_replace(F.trim(s), "[.:]$", "")
+    parts = F.filter(F.split(line, "[^\\p{L}]+"), lambda w: w != "")
+    each = F.forall(parts, lambda w: w.isin(*CONNECTORS) | w.rlike("^(\\p{Lu}+|\\p{Lu}\\p{Ll}*)$"))
+    return line.rlike("^[\\p{L}\\s&/'-]+$") & F.exists(parts, lambda w: w.rlike("^\\p{Lu}")) & each
+
+
+def negation(s: Column) -> Column:
+    """A negating word, "not only" aside, or a verb with n't."""
+    w = F.filter(F.split(F.lower(s), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
+    after = lambda i: F.coalesce(F.get(w, i + 1), F.lit(""))
+    return F.exists(F.transform(w, lambda x, i: (x.isin(*NEGATIONS) & ~((x == "not") & (after(i) == "only"))) | (x.isin(*BEFORE_T) & (after(i) == "t"))), lambda x: x)
+
+
+def clipped(s: Column, ceiling: int) -> Column:
+    """Ends at the ceiling exactly, before its sentence does."""
+    return (F.length(s) == ceiling) & ~s.rlike("^\\s") & (F.trim(s) != "") & ~complete(s)
+
+
+def paraphrase_violations(s: Column) -> Column:
+    """What a paraphrase breaks, in this order: not trimmed or empty, too long, no complete sentence."""
+    rules = (("nonempty_already_trimmed_text", (s == "") | s.rlike("^\\s|\\s$")), ("maximum_claim_characters", F.length(s) > CLAIM_LIMIT), ("complete_sentence_terminal_punctuation_no_cutoff", ~complete(s)))
+    return F.filter(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules]), lambda x: x.isNotNull())
 
 
 def block_id(document_id: Column, version: str, page: Column, index: Column) -> Column:

@@ -235,6 +235,96 @@ def warning_rollup(spark, d):
     return rows.select("conv_id", F.array_join(F.transform("x", lambda r: F.concat(r["role"], F.lit(":"), r["turn"].cast("string"))), ";").alias("warnings"))
 
 
+#: Lines of every shape that the predicates tell apart; a part stands for a line, its size for the page.
+_LINES = (
+    "Page {n} of 50", "{n}", "page {n}", "{n} / 49", "{n}/3", "Page 03", "MASTER SERVICE AGREEMENT", "Annual Report", "CONFIDENTIAL", "Draft", "Overview | page {n}", "Overview | page 0",
+    "The supplier shall deliver {n} units.", "Payment may not be withheld", "Exhibit 10.{n}", "Exhibit A", "EXHIBIT b.{n}", "EX-10.{n} 2 form{n}.htm DOCUMENT", "EX-10. 2 form.htm", "EX-99 3 note.TXT",
+    "Monday, May {n}, 2021", "may {n} 2021", "March 32, 1999", "Signed on June {n}, 1998.", "Signed (July) {n}. 98", "03/10/03 A-{n}", "3/1/2003 AB-12", "03/10/03 A-1234", "x 1 y 2", "Zahlung: {n} Tage",
+    "1. Fees: {n}", "Notes (net): ", "Payment Terms", "Term and Termination:", "Payment terms", "INDEMNITY & Insurance.", "It is not only {n}", "They don't agree", "There is no charge.", "1.2 Scope of work", " leading space.", "He left the",
+)
+
+
+def _sample(spark, d):
+    line = F.element_at(F.array(*map(F.lit, _LINES)), (F.col("p_partkey") % len(_LINES) + 1).cast("int"))
+    return _table(spark, d, "part").select("p_partkey", F.col("p_size").alias("page"), F.replace(line, F.lit("{n}"), F.col("p_size").cast("string")).alias("line"))
+
+
+_SAMPLE = "SELECT p_partkey, p_size AS page, replace(([" + ", ".join("'" + x.replace("'", "''") + "'" for x in _LINES) + f"])[p_partkey % {len(_LINES)} + 1], '{{n}}', CAST(p_size AS VARCHAR)) AS line FROM part"
+_KEY = r"lower(trim(regexp_replace(line, '\s+', ' ', 'g')))"
+_FORCE = rf"regexp_matches({_KEY}, '(^|[^\p{{L}}\p{{N}}])({'|'.join(T.OPERATIVE)})([^\p{{L}}\p{{N}}]|$)')"
+_PAGE = r"""({0} = CAST(page AS VARCHAR) OR {0} = 'page ' || page OR coalesce(regexp_extract({0}, '^(?:page )?([0-9]+)(?: of | / |/)([0-9]+)$', 1) = CAST(page AS VARCHAR)
+ AND TRY_CAST(regexp_extract({0}, '^(?:page )?([0-9]+)(?: of | / |/)([0-9]+)$', 2) AS BIGINT) >= page, false))"""
+
+
+@query(f"SELECT p_partkey, {_PAGE.format(_KEY)} AS number, {_FORCE} AS force FROM ({_SAMPLE})")
+def page_number_lines(spark, d):
+    return _sample(spark, d).select("p_partkey", T.page_number(F.col("line"), F.col("page")).alias("number"), T.operative(F.col("line")).alias("force"))
+
+
+@query(rf"""SELECT p_partkey, strlen(trim(line)) <= 120 AND len(string_split({_KEY}, ' ')) <= 12 AND NOT regexp_matches(trim(line), '^§? ?[0-9]+(\.[0-9]+)*[.)]?\s+\S') AND NOT {_FORCE} AND NOT regexp_matches(line, '[.;!?$€]')
+ AND ({_KEY} IN {T.LABELS} OR (contains({_KEY}, ' | ') AND {_PAGE.format("list_extract(string_split(" + _KEY + ", ' | '), -1)")}) OR (upper(line) = line AND regexp_matches({_KEY}, '({"|".join(T.TITLE_KINDS)})$'))) AS label FROM ({_SAMPLE})""")
+def running_labels(spark, d):
+    return _sample(spark, d).select("p_partkey", T.running_label(F.col("line"), F.col("page")).alias("label"))
+
+
+@query(rf"""SELECT p_partkey, regexp_matches({_KEY}, '^exhibit [a-z0-9]+(\.[a-z0-9]+)*$') AND regexp_matches({_KEY}, ' .*[0-9]') AS filing,
+ NOT {_FORCE} AND regexp_matches(line, '^EX-[0-9]+(\.[0-9]+)*\s+[0-9]+\s+[A-Za-z0-9._-]*\.(htm|html|txt|TXT)(\s|$)') AS header FROM ({_SAMPLE})""")
+def filing_lines(spark, d):
+    return _sample(spark, d).select("p_partkey", T.filing_label(F.col("line")).alias("filing"), T.filing_header(F.col("line")).alias("header"))
+
+
+@query(rf"""SELECT p_partkey, regexp_matches({_KEY}, '^(({"|".join(T.WEEKDAYS)}),* )?({"|".join(T.MONTHS)}) [0-9]+,* [0-9]{{4}}$') AND CAST(coalesce(nullif(regexp_extract(regexp_replace({_KEY}, '^[a-z]+,+ ', ''), '[0-9]+'), ''), '0') AS INT) BETWEEN 1 AND 31 AS label,
+ regexp_matches(lower(line), '(^|\s)[,;:!?()]*({"|".join(T.MONTHS)})[.,;:!?()]*\s+[0-9]{{1,2}}[.,;:!?()]*\s+([0-9]{{2}}|[0-9]{{4}})[.,;:!?()]*(\s|$)') AS named,
+ length(line) <= 32 AND regexp_matches(line, '^[0-9]{{1,2}}/[0-9]{{1,2}}/([0-9]{{2}}|[0-9]{{4}})\s+[A-Za-z]{{1,2}}-[0-9]{{1,3}}$') AS stamp, regexp_matches(line, '\p{{L}}\p{{M}}*\p{{L}}') AS worded FROM ({_SAMPLE})""")
+def date_lines(spark, d):
+    s = F.col("line")
+    return _sample(spark, d).select("p_partkey", T.date_label(s).alias("label"), T.named_date_marker(s).alias("named"), T.date_stamp(s).alias("stamp"), T.multi_letter_word(s).alias("worded"))
+
+
+@query(rf"""SELECT p_partkey, CASE WHEN regexp_matches(line, '^\s*[^:\p{{L}}\p{{N}}]*\p{{L}}[\p{{L}}\p{{N}}\s/()''’&#-]*:') AND trim(substr(line, strpos(line, ':') + 1)) <> '' THEN substr(trim(line), strpos(trim(line), ':') + 1) END AS value FROM ({_SAMPLE})""")
+def label_values(spark, d):
+    return _sample(spark, d).select("p_partkey", T.label_value(F.col("line")).alias("value"))
+
+
+@query(rf"""SELECT p_partkey, regexp_matches(regexp_replace(trim(line), '[.:]$', ''), '^[\p{{L}}\s&/''-]+$') AND regexp_matches(line, '(^|[^\p{{L}}])\p{{Lu}}')
+ AND len(list_filter(regexp_extract_all(line, '\p{{L}}+'), lambda w: w NOT IN {T.CONNECTORS} AND NOT regexp_matches(w, '^(\p{{Lu}}+|\p{{Lu}}\p{{Ll}}*)$'))) = 0 AS title,
+ regexp_matches(replace(lower(line), 'not only', ''), '(^|[^\p{{L}}\p{{N}}])(({"|".join(T.NEGATIONS)})([^\p{{L}}\p{{N}}]|$)|({"|".join(T.BEFORE_T)})[^\p{{L}}\p{{N}}]+t([^\p{{L}}\p{{N}}]|$))') AS negated FROM ({_SAMPLE})""")
+def clause_lines(spark, d):
+    return _sample(spark, d).select("p_partkey", T.clause_title(F.col("line")).alias("title"), T.negation(F.col("line")).alias("negated"))
+
+
+_COMPLETE = r"""regexp_matches(regexp_replace({0}, '\s+$', ''), '([\p{{L}}\p{{N}}]|[\p{{N}}][%°$€£])[.!?。！？]+[\"''”’)\]]*$')"""
+
+
+@query(rf"""SELECT p_partkey, length(line) = 11 AND line NOT LIKE ' %' AND trim(line) <> '' AND NOT {_COMPLETE.format('line')} AS clipped, array_to_string(list_filter([CASE WHEN line = '' OR trim(line) <> line THEN 'nonempty_already_trimmed_text' END,
+ CASE WHEN length(line) > 384 THEN 'maximum_claim_characters' END, CASE WHEN NOT {_COMPLETE.format('line')} THEN 'complete_sentence_terminal_punctuation_no_cutoff' END], lambda x: x IS NOT NULL), ',') AS broken FROM ({_SAMPLE})""")
+def paraphrase_checks(spark, d):
+    return _sample(spark, d).select("p_partkey", T.clipped(F.col("line"), 11).alias("clipped"), F.array_join(T.paraphrase_violations(F.col("line")), ",").alias("broken"))
+
+
+@query("SELECT event_type, CAST(sum(strlen(props)) AS BIGINT) AS bytes, sum(strlen(props)) <= 262144 AS fits FROM events GROUP BY 1")
+def corrected_bytes(spark, d):
+    g = _table(spark, d, "events").groupBy("event_type").agg(F.sum(F.octet_length("props")).cast("long").alias("bytes"))
+    return g.select("event_type", "bytes", (F.col("bytes") <= 262144).alias("fits"))
+
+
+@query("SELECT l_orderkey, min(p_size) AS first_page, max(p_size) AS last_page FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
+def ranker_candidates(spark, d):
+    cited = _table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"))
+    return cited.join(_table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").groupBy("l_orderkey").agg(F.min("p_size").alias("first_page"), F.max("p_size").alias("last_page"))
+
+
+@query("SELECT conv_id, count(*) = count(DISTINCT turn) AND min(turn) = 0 AND max(turn) = count(*) - 1 AS contiguous FROM conversations GROUP BY 1")
+def contiguous_blocks(spark, d):
+    return _table(spark, d, "conversations").groupBy("conv_id").agg(((F.count("*") == F.countDistinct("turn")) & (F.min("turn") == 0) & (F.max("turn") == F.count("*") - 1)).alias("contiguous"))
+
+
+@query("SELECT conv_id, bool_or(contains(text, chr(65533)) OR regexp_full_match(trim(text), '[\\p{P}\\p{S}\\p{Cc}\\s]*')) AS risk FROM conversations GROUP BY 1")
+def text_layer_risk(spark, d):
+    noise = F.contains(F.col("text"), F.lit("�")) | F.trim("text").rlike("^[\\p{P}\\p{S}\\p{Cc}\\s]*$")
+    return _table(spark, d, "conversations").groupBy("conv_id").agg(F.bool_or(noise).alias("risk"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
