@@ -91,7 +91,7 @@ def reference_marker(s: Column) -> Column:
 
 
 def material_marker(s: Column) -> Column:
-    return email_marker(s) | numeric_date_marker(s) | named_date_marker(s) | reference_marker(s)
+    return email_marker(s) | phone_marker(s) | numeric_date_marker(s) | named_date_marker(s) | reference_marker(s)
 
 
 def operative(s: Column) -> Column:
@@ -180,6 +180,46 @@ def filing_header(s: Column) -> Column:
     return n.between(3, 30) & ~operative(s) & F.trim(s).rlike("^EX-[0-9]+(\\.[0-9]+)*\\s+[0-9]+\\s+[A-Za-z0-9._-]*\\.(?i:html?|txt)(\\s|$)")
 
 
+#: A decimal number, and the units of one letter that make it a value.
+NUMBER = "[+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+UNITS = "lLmgsAVWJKCF"
+MARKED_NUMBER = f"[|;,]*{NUMBER}[|;,]*"
+
+
+def numeric_content(s: Column) -> Column:
+    """Numbers that say something: with a currency, a percentage, a comparison or a unit, two digits in a row, two numbers in a line, or nothing else."""
+    compared = f"(?:^|\\s)[|;,]*(?:<=|>=|!=|[<>=≤≥≠])(?:[|;,]*\\s+[|;,]*)?{NUMBER}[|;,]*(?:\\s|$)"
+    valued = f"(?:^|\\s){NUMBER}\\s*[{UNITS}](?:\\s|$)"
+    two = f"(?m)(?:^|[ \\t]){MARKED_NUMBER}[ \\t](?:.*[ \\t])?{MARKED_NUMBER}[ \\t]*$|(?:^|[ \\t]){MARKED_NUMBER}[ \\t](?:.*[ \\t])?{MARKED_NUMBER}[ \\t]"
+    alone = s.rlike("\\p{N}") & (s.rlike("[\\p{Sc}%‰‱°]") | s.rlike("^[\\p{N}\\s+.,/:()-]*$"))
+    return alone | s.rlike(compared) | s.rlike(valued) | s.rlike("\\p{N}{2}") | s.rlike("(?m)^\\s*\\p{N}+\\s*$") | s.rlike(two)
+
+
+def page_class(s: Column) -> Column:
+    """date_page_stamp; scan_noise, a page of which four fifths are punctuation, symbols or controls; null for pages that are kept."""
+    line = F.trim(s)
+    solid = F.regexp_replace(line, "\\s", "")
+    noise = F.length(F.regexp_replace(solid, "[^\\p{P}\\p{S}\\p{Cc}]", ""))
+    kept = multi_letter_word(line) | numeric_content(line) | solid.rlike("[\\p{Cn}\\p{Co}\\p{Cf}]")
+    return F.when(solid == "", None).when(date_stamp(line), "date_page_stamp").when(~kept & (noise * 5 >= F.length(solid) * 4), "scan_noise")
+
+
+def phone_marker(s: Column, question: bool = True) -> Column:
+    """One to three tokens of digits and + - ( ) . together, with 7 to 15 digits and one of + - ( ). question: ? around a token goes too."""
+    around = "[,;:!\"'“”‘’" + ("?" if question else "") + "]+"
+    w = F.transform(words(s), lambda x: F.regexp_replace(x, f"^{around}|{around}$", ""))
+
+    def spans(i: Column) -> Column:
+        found = F.lit(False)
+        for k in (1, 2, 3):
+            part = F.slice(w, i, k)
+            joined = F.array_join(part, "")
+            found = found | ((F.size(part) == k) & F.forall(part, lambda x: x.rlike("^[0-9+().-]+$")) & F.length(F.regexp_replace(joined, "[^0-9]", "")).between(7, 15) & joined.rlike("[+()-]"))
+        return found
+
+    return (F.size(w) > 0) & F.exists(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), spans)
+
+
 def label_value(s: Column) -> Column:
     """The value of a "label: value" line; null where the label isn't 1 to 8 words, or opens with a number."""
     label, value = F.regexp_extract(F.trim(s), "^([^:]*):", 1), F.regexp_extract(F.trim(s), "(?s)^[^:]*:(.*)$", 1)

@@ -319,10 +319,39 @@ def contiguous_blocks(spark, d):
     return _table(spark, d, "conversations").groupBy("conv_id").agg(((F.count("*") == F.countDistinct("turn")) & (F.min("turn") == 0) & (F.max("turn") == F.count("*") - 1)).alias("contiguous"))
 
 
-@query("SELECT conv_id, bool_or(contains(text, chr(65533)) OR regexp_full_match(trim(text), '[\\p{P}\\p{S}\\p{Cc}\\s]*')) AS risk FROM conversations GROUP BY 1")
+_NOISE = ("... --- ***", "~~ 5 ~~", "a . - . - . -", "< {n} |", "call (703) 696-{n}59?", "+1 555 12{n}", "703 696 4959", "$ 5", "1 | 2", "3 kg", "3 m .", "ok", "?? !! |", "1 .", "03/10/03 A-{n}", "")
+
+
+def _noisy(spark, d):
+    line = F.element_at(F.array(*map(F.lit, _NOISE)), (F.col("p_partkey") % len(_NOISE) + 1).cast("int"))
+    return _table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 997).alias("document"), F.replace(line, F.lit("{n}"), F.col("p_size").cast("string")).alias("line"))
+
+
+_NOISY = "SELECT p_partkey, p_partkey % 997 AS document, replace(([" + ", ".join(f"'{x}'" for x in _NOISE) + f"])[p_partkey % {len(_NOISE)} + 1], '{{n}}', CAST(p_size AS VARCHAR)) AS line FROM part"
+_VALUE = T.MARKED_NUMBER
+_CLASSED = rf"""SELECT *, CASE WHEN solid = '' THEN NULL WHEN regexp_matches(line, '^[0-9]{{1,2}}/[0-9]{{1,2}}/([0-9]{{2}}|[0-9]{{4}})\s+[A-Za-z]{{1,2}}-[0-9]{{1,3}}$') THEN 'date_page_stamp'
+ WHEN NOT regexp_matches(line, '\p{{L}}\p{{M}}*\p{{L}}') AND NOT number AND length(regexp_replace(solid, '[^\p{{P}}\p{{S}}\p{{Cc}}]', '', 'g')) * 5 >= length(solid) * 4 THEN 'scan_noise' END AS class
+ FROM (SELECT *, regexp_replace(line, '\s', '', 'g') AS solid, regexp_matches(line, '\p{{N}}') AND (regexp_matches(line, '[\p{{Sc}}%‰‱°]') OR regexp_matches(line, '^[\p{{N}}\s+.,/:()-]*$'))
+ OR len(list_filter(regexp_split_to_array(line, '\s+'), lambda w: regexp_matches(w, '^{_VALUE}$'))) >= 2 OR regexp_matches(line, '\p{{N}}\p{{N}}')
+ OR regexp_matches(line, '(^|\s)(<=|>=|!=|[<>=≤≥≠])\s*{T.NUMBER}[|;,]*(\s|$)') OR regexp_matches(line, '(^|\s){T.NUMBER}\s*[{T.UNITS}](\s|$)') AS number FROM ({_NOISY}))"""
+
+
+@query(f"SELECT p_partkey, number, class FROM ({_CLASSED})")
+def page_classes(spark, d):
+    return _noisy(spark, d).select("p_partkey", T.numeric_content(F.col("line")).alias("number"), T.page_class(F.col("line")).alias("class"))
+
+
+@query(f"SELECT document, bool_or(contains(line, chr(65533)) OR coalesce(class = 'scan_noise', false)) AS risk FROM ({_CLASSED}) GROUP BY 1")
 def text_layer_risk(spark, d):
-    noise = F.contains(F.col("text"), F.lit("�")) | F.trim("text").rlike("^[\\p{P}\\p{S}\\p{Cc}\\s]*$")
-    return _table(spark, d, "conversations").groupBy("conv_id").agg(F.bool_or(noise).alias("risk"))
+    risky = F.contains(F.col("line"), F.lit("�")) | F.coalesce(T.page_class(F.col("line")) == "scan_noise", F.lit(False))
+    return _noisy(spark, d).groupBy("document").agg(F.bool_or(risky).alias("risk"))
+
+
+@query(rf"""SELECT p_partkey, len(list_filter(flatten(list_transform(range(1, len(w) + 1), lambda i: list_transform([1, 2, 3], lambda k: array_to_string(w[i : least(i + k - 1, len(w))], '')))),
+ lambda x: regexp_matches(x, '^[0-9+().-]+$') AND regexp_matches(x, '[+()-]') AND length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 7 AND 15)) > 0 AS phone
+ FROM (SELECT p_partkey, list_transform(regexp_split_to_array(trim(line), '\s+'), lambda x: trim(x, ',;:!"''“”‘’?')) AS w FROM ({_NOISY}))""")
+def phone_markers(spark, d):
+    return _noisy(spark, d).select("p_partkey", T.phone_marker(F.col("line")).alias("phone"))
 
 
 def queries() -> dict:
