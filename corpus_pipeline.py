@@ -7,35 +7,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import bpe, cotrain, decontaminate, recompress, tensor_minhash
-from quillstone.llm.common import Stages, table
+from quillstone.llm.common import Stages, keyed, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the co-trained classifier finds poor or toxic."""
-    scores = cotrain.classify(docs, table(spark, sf_dir, "labels"))
-    return docs.select(*COLUMNS).join(scores.where("kept").select("doc_id"), "doc_id", "left_semi")
+    """Drops the rows that the co-trained classifier finds poor or toxic."""
+    return cotrain.classify(docs, table(spark, sf_dir, "labels"), with_docs=True).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group of near duplicates (five words, 0.8)."""
-    found = tensor_minhash.near_duplicates(docs, size=5, percent=80)
-    return docs.select(*COLUMNS).join(found.where("kept").select("doc_id"), "doc_id", "left_semi")
+    """Keeps one row of each group of near duplicates (five words, 0.8): that with the least doc_id (null last), of equal ones the first."""
+    rows = keyed(docs.select(*COLUMNS), Stages(spark, "near-rows"))
+    found = tensor_minhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), size=5, percent=80)
+    member = rows.select("row", "doc_id").join(found.select(F.col("doc_id").alias("row"), "component_id"), "row")
+    best = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("x"))
+    return rows.join(best.select("x.row"), "row", "left_semi").select(*COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out the words of repeated windows; texts without any stay as they are."""
-    found = recompress.substring_dedup(docs, with_text=True).where("n_removed > 0").select("doc_id", "kept_text").dropDuplicates(["doc_id"])
+    rows = keyed(docs.select(*COLUMNS), Stages(spark, "substring-rows"))
+    found = recompress.substring_dedup(rows.select(F.col("row").alias("doc_id"), "text"), with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("row"), "kept_text")
     text = F.when(F.col("kept_text").isNull(), F.col("text")).otherwise(F.col("kept_text"))
-    out = docs.select(*COLUMNS).join(found, "doc_id", "left").withColumn("text", text)
+    out = rows.join(found, "row", "left").withColumn("text", text)
     return out.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("text"))).select(*COLUMNS)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark window."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return docs.select(*COLUMNS).join(found.where("not contaminated").select("doc_id"), "doc_id", "left_semi")
+    """Drops rows that hold a benchmark window."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=COLUMNS[1:])
+    return found.where("not contaminated").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

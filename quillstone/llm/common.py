@@ -109,3 +109,8 @@ class Stages:
 def docs_of(df: DataFrame) -> DataFrame:
     """doc_id and text alone, under those names; other columns, whatever they are called, stay out of the plan."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def keyed(docs: DataFrame, stages: Stages) -> DataFrame:
+    """docs with a key of its own for each row, `row`; written, as a second reading of the input could number rows differently."""
+    return stages.put(docs.withColumn("row", F.monotonically_increasing_id()), "rows")

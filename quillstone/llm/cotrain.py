@@ -190,14 +190,16 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, most: float = 0.5) -> DataFrame:
-    """doc_id, p_poor, p_toxic, poor_text, poor_meta, toxic_text, toxic_meta (log odds of each view), kept for every row.
+def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, most: float = 0.5, with_docs: bool = False) -> DataFrame:
+    """doc_id, p_poor, p_toxic, poor_text, poor_meta, toxic_text, toxic_meta (log odds of each view), kept for every row;
+    with with_docs, its text, lang, source and n_chars too, so that nothing has to be joined back by doc_id.
 
     kept: neither probability reaches `most`. Null and empty texts have no words but a shape; null metadata is a value of
     its own. Labels with nulls train only the target they name; of several labels for a document the worst counts. A
     target with too few labels has probability 0 everywhere. Repeated rows give a row each; an empty table none.
     """
     models = fit(docs, labels, labelled, pool)
+    own = ("text", "lang", "source", "n_chars") if with_docs else ()
     small = {k: m and Model((m.text[0].astype(np.float32), m.text[1]), (m.meta[0].astype(np.float32), m.meta[1]), m.mix) for k, m in models.items()}
     shared = docs.sparkSession.sparkContext.broadcast(small)  # weights of two hashed vocabularies: 2 MB whatever the corpus
 
@@ -219,6 +221,6 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool:
                         out += [x, y]
                         probabilities.append(sigmoid(both))
                 kept = (probabilities[0] < most) & (probabilities[1] < most)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, probabilities), *[pa.array(np.asarray(x, dtype=np.float64)) for x in out], pa.array(kept)], ["doc_id", "p_poor", "p_toxic", "poor_text", "poor_meta", "toxic_text", "toxic_meta", "kept"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, probabilities), *[pa.array(np.asarray(x, dtype=np.float64)) for x in out], pa.array(kept), *[b.column(c) for c in own]], ["doc_id", "p_poor", "p_toxic", "poor_text", "poor_meta", "toxic_text", "toxic_meta", "kept", *own])
 
-    return _columns(docs).mapInArrow(run, "doc_id long, p_poor double, p_toxic double, poor_text double, poor_meta double, toxic_text double, toxic_meta double, kept boolean")
+    return _columns(docs).mapInArrow(run, "doc_id long, p_poor double, p_toxic double, poor_text double, poor_meta double, toxic_text double, toxic_meta double, kept boolean" + ", text string, lang string, source string, n_chars long" * with_docs)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import docs_of, gram_hashes, hash_words, signed, utf8
+from quillstone.llm.common import gram_hashes, hash_words, signed, utf8
 
 #: Benchmark windows up to which they go to every worker (about 60 MB there); beyond, both sides are shuffled and joined.
 LOCAL_WINDOWS = 200_000
@@ -60,17 +60,19 @@ def _covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, local_windows: int = LOCAL_WINDOWS, spans: bool = False) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and, with spans, hits (start and end words of each item's windows).
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, local_windows: int = LOCAL_WINDOWS, spans: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and, with spans, hits (start and end words of each item's windows);
+    the columns named in carry come along, so that nothing has to be joined back by doc_id.
 
     A null or empty text has no words and no hits; items without words match nothing, null item_ids none either; items
     with the same words count each; repeated item rows count once; repeated documents give a row each; an empty benchmark
     hits nothing. Other columns are ignored.
     """
-    docs = docs_of(docs)
+    own = docs.select(*carry)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"own{i}") for i, c in enumerate(carry)])
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     n_words = items.select(F.octet_length("text").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0] // 2
-    out = OUT + ", hits array<struct<item_id:string,start:int,end:int>>" * spans
+    out = OUT + ", hits array<struct<item_id:string,start:int,end:int>>" * spans + "".join(f", `{c}` {t}" for c, t in own.dtypes)
     if n_words <= 4 * local_windows:  # a window at most for each two bytes: a bound before anything is fetched
         rows = [(i, words_of(None if t is None else t.encode("utf-8", "surrogatepass"))) for i, t in items.distinct().toLocalIterator()]
         windows: dict[bytes, set] = {}
@@ -81,8 +83,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, local
             if words:
                 lengths[min(window, len(words))] = None
         if len(windows) <= local_windows:
-            return _local(docs, [w for _, w in rows if w], windows, sorted(lengths), out, spans)
-    return _shuffled(docs, items, window, out, spans)
+            return _local(docs, [w for _, w in rows if w], windows, sorted(lengths), out, spans, carry)
+    return _shuffled(docs, items, window, out, spans, carry)
 
 
 def _choose(shortest: int) -> tuple[int, int]:
@@ -90,7 +92,7 @@ def _choose(shortest: int) -> tuple[int, int]:
     return k, shortest - k + 1
 
 
-def _local(docs, item_words, windows, lengths, out, spans):
+def _local(docs, item_words, windows, lengths, out, spans, carry):
     k, w = _choose(lengths[0] if lengths else 1)
     prints = np.unique(np.concatenate([np.empty(0, np.uint64), *[gram_hashes(h, k)[winnow(h, k, w)] for h in map(hash_words, item_words)]]))
     known = docs.sparkSession.sparkContext.broadcast((windows, prints))
@@ -112,12 +114,12 @@ def _local(docs, item_words, windows, lengths, out, spans):
         for batch in batches:
             words = [words_of(t) for t in utf8(batch.column(1))]
             found = [scan(x, windows, prints) if len(x) >= k and windows else [] for x in words]
-            yield _rows(batch.column(0), [len(x) for x in words], found, spans)
+            yield _rows(batch.column(0), [len(x) for x in words], found, spans, batch, carry)
 
     return docs.mapInArrow(run, out)
 
 
-def _rows(ids, n_words, found, spans) -> pa.RecordBatch:
+def _rows(ids, n_words, found, spans, batch, carry) -> pa.RecordBatch:
     n_hit = [_covered([(s, e) for _, s, e in f]) for f in found]
     items = [{i for i, _, _ in f} for f in found]
     columns = [ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array([_digest(i) for i in items], pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_())]
@@ -126,10 +128,12 @@ def _rows(ids, n_words, found, spans) -> pa.RecordBatch:
         kind = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         columns.append(pa.array([[{"item_id": i, "start": s, "end": e} for i, s, e in f] for f in found], kind))
         names.append("hits")
+    columns += [batch.column(f"own{i}") for i in range(len(carry))]
+    names += carry
     return pa.RecordBatch.from_arrays(columns, names)
 
 
-def _shuffled(docs, items, window, out, spans):
+def _shuffled(docs, items, window, out, spans, carry):
     """For a benchmark of any size: fingerprints are joined, then the whole windows of the documents that share one."""
 
     def lengths_of(batches):
@@ -172,7 +176,7 @@ def _shuffled(docs, items, window, out, spans):
 
     def run(batches):
         for b in batches:
-            hits = [sorted((x["item_id"], x["start"], x["end"]) for x in h or ()) for h in b.column(2).to_pylist()]
-            yield _rows(b.column(0), [len(words_of(t)) for t in utf8(b.column(1))], hits, spans)
+            hits = [sorted((x["item_id"], x["start"], x["end"]) for x in h or ()) for h in b.column("hits").to_pylist()]
+            yield _rows(b.column(0), [len(words_of(t)) for t in utf8(b.column(1))], hits, spans, b, carry)
 
-    return docs.join(per_doc, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(run, out)
+    return docs.join(per_doc, "doc_id", "left").mapInArrow(run, out)
