@@ -133,3 +133,18 @@ def test_a_rejected_row_goes_whatever_others_share_its_doc_id(spark, tmp_path, l
     good, bad = row(1000, some(60), "s1"), row(1000, [w + "%%%" for w in some(60)], "s1")
     got = stage(spark, tmp_path, 0, [*[r for *_, r in labelled], good, bad, good])
     assert got.count(good) == 2 and bad not in got
+
+
+def test_a_null_doc_id_goes_by_its_verdict_in_each_stage(spark, tmp_path):
+    a, b = some(60), some(50)
+    rows = [row(None, a), row(None, a), row(4, a), row(None, b), row(None, b), row(None, some(45)), row(None, None), row(None, None)]
+    rows += [row(None, [*some(20), *ITEM]), row(None, [*some(25), *COMMON]), row(6, [*some(30), *COMMON])]
+    left = check(spark, tmp_path, rows)
+    assert ordered([r[0] for r in left]) == ordered([4, 6, None, None, None, None, None])
+
+
+def test_a_null_doc_id_is_classified_like_any_other(spark, tmp_path, labelled):
+    write(spark, tmp_path, "labels", [(i, int(not poor), 0) for i, poor, _ in labelled if i < 500], "doc_id long, quality int, toxic int")
+    good, bad = row(None, some(60), "s1"), row(None, [w + "%%%" for w in some(60)], "s1")
+    got = stage(spark, tmp_path, 0, [*[r for *_, r in labelled], good, bad])
+    assert good in got and bad not in got
