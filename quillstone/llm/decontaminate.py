@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import gram_hashes, hash_words, signed, utf8
+from quillstone.llm.common import Stages, gram_hashes, hash_words, keyed, signed, utf8
 
 #: Benchmark windows up to which they go to every worker (about 60 MB there); beyond, both sides are shuffled and joined.
 LOCAL_WINDOWS = 200_000
@@ -134,7 +134,11 @@ def _rows(ids, n_words, found, spans, batch, carry) -> pa.RecordBatch:
 
 
 def _shuffled(docs, items, window, out, spans, carry):
-    """For a benchmark of any size: fingerprints are joined, then the whole windows of the documents that share one."""
+    """For a benchmark of any size: fingerprints are joined, then the whole windows of the documents that share one.
+
+    Rows have keys of their own here, so those with a null or repeated doc_id keep their own hits.
+    """
+    docs = keyed(docs, Stages(docs.sparkSession, "decontamination"))
 
     def lengths_of(batches):
         for b in batches:
@@ -151,10 +155,10 @@ def _shuffled(docs, items, window, out, spans, carry):
 
     def doc_prints(batches):
         for b in batches:
-            for key, t in zip(b.column(0).to_pylist(), utf8(b.column(1))):
+            for key, t in zip(b.column("row").to_pylist(), utf8(b.column("text"))):
                 h = hash_words(words_of(t))
                 fp = np.unique(gram_hashes(h, k)[winnow(h, k, w)]) if len(h) >= k else np.empty(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(fp), pa.int64()), signed(fp)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(fp), pa.int64()), signed(fp)], ["row", "fp"])
 
     def item_windows(batches):
         for b in batches:
@@ -164,19 +168,19 @@ def _shuffled(docs, items, window, out, spans, carry):
 
     def doc_windows(batches):
         for b in batches:
-            for key, t in zip(b.column(0).to_pylist(), utf8(b.column(1))):
+            for key, t in zip(b.column("row").to_pylist(), utf8(b.column("text"))):
                 words = words_of(t)
                 x = [(s, n) for n in lengths for s in range(len(words) - n + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(x), pa.int64()), pa.array([s for s, _ in x], pa.int32()), pa.array([n for _, n in x], pa.int32()), pa.array([b" ".join(words[s : s + n]) for s, n in x], pa.binary())], ["doc_id", "start", "n", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(x), pa.int64()), pa.array([s for s, _ in x], pa.int32()), pa.array([n for _, n in x], pa.int32()), pa.array([b" ".join(words[s : s + n]) for s, n in x], pa.binary())], ["row", "start", "n", "words"])
 
-    shared = docs.mapInArrow(doc_prints, "doc_id long, fp long").join(items.mapInArrow(prints, "fp long").distinct(), "fp", "left_semi").select("doc_id").distinct()
-    near = docs.join(shared, "doc_id", "left_semi").distinct()
-    found = near.mapInArrow(doc_windows, "doc_id long, start int, n int, words binary").join(items.mapInArrow(item_windows, "item_id string, words binary").distinct(), "words")
-    per_doc = found.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "start", (F.col("start") + F.col("n")).alias("end"))).alias("hits"))
+    shared = docs.mapInArrow(doc_prints, "row long, fp long").join(items.mapInArrow(prints, "fp long").distinct(), "fp", "left_semi").select("row").distinct()
+    near = docs.join(shared, "row", "left_semi").select("row", "text")
+    found = near.mapInArrow(doc_windows, "row long, start int, n int, words binary").join(items.mapInArrow(item_windows, "item_id string, words binary").distinct(), "words")
+    per_doc = found.groupBy("row").agg(F.collect_set(F.struct("item_id", "start", (F.col("start") + F.col("n")).alias("end"))).alias("hits"))
 
     def run(batches):
         for b in batches:
             hits = [sorted((x["item_id"], x["start"], x["end"]) for x in h or ()) for h in b.column("hits").to_pylist()]
             yield _rows(b.column(0), [len(words_of(t)) for t in utf8(b.column(1))], hits, spans, b, carry)
 
-    return docs.join(per_doc, "doc_id", "left").mapInArrow(run, out)
+    return docs.join(per_doc, "row", "left").select("doc_id", "text", *[f"own{i}" for i in range(len(carry))], "hits").mapInArrow(run, out)

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from quillstone.llm.common import table
+from quillstone.llm import decontaminate
 
 R = random.Random(11)
 VOCABULARY = [a + b for a in "bdfgklmnprst" for b in ("a", "e", "in", "or", "um")]
@@ -148,3 +148,13 @@ def test_a_null_doc_id_is_classified_like_any_other(spark, tmp_path, labelled):
     good, bad = row(None, some(60), "s1"), row(None, [w + "%%%" for w in some(60)], "s1")
     got = stage(spark, tmp_path, 0, [*[r for *_, r in labelled], good, bad])
     assert good in got and bad not in got
+
+
+def test_both_paths_of_decontamination_judge_each_row_by_itself(spark):
+    held, other = [*some(9), *ITEM], some(30)
+    rows = [row(None, held), row(None, other), row(None, held), row(1, held), row(1, other), row(1, other), row(2, [*held, *ITEM]), row(2, None), row(None, None)]
+    docs, bench = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([("1", " ".join(ITEM))], "item_id string, text string")
+    one, two = (ordered(map(tuple, decontaminate.decontaminate(docs, bench, local_windows=n, spans=True, carry=("text", "source")).collect())) for n in (decontaminate.LOCAL_WINDOWS, 0))
+    assert one == two and len(one) == len(rows)
+    hit = [(r[0], r[2]) for r in one if r[5]]
+    assert ordered(hit) == ordered([(None, 14), (None, 14), (1, 14), (2, 28)])
