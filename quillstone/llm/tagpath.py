@@ -2,7 +2,8 @@
 
 Every text node has a path of tags from the root. Per path, text length and punctuation per node are summed up; the two
 ratios are smoothed along the page, fused and held against a threshold, which gives the content nodes. The main text is
-the subtree that holds most of their weight, without the parts that pages mark as something else.
+the smallest subtree that holds all of them and the title (h1), or the article around it, without the parts that pages mark
+as something else.
 """
 
 from __future__ import annotations
@@ -150,32 +151,29 @@ def scores(nodes: list[tuple[Node, str]], spread: float = 1.0) -> np.ndarray:
     return smooth(length) * smooth(points)
 
 
-def main_text(page: str, share: float = 0.8, deviations: float = 0.0) -> str:
+def main_text(page: str, deviations: float = 0.0) -> str:
     """The main text of a page; empty where there is none."""
     nodes = [(x, t) for x, t in blocks(page) if not x.not_text]
     if not nodes:
         return ""
     fused = scores(nodes)
     threshold = min(fused.max(), fused.mean() + deviations * fused.std())
-    weight: dict[Node, int] = {}
+    held: dict[Node, int] = {}
     total = 0
-    for (node, text), s in zip(nodes, fused):
-        if s >= threshold:
-            total += len(text)
+    for (node, _), s in zip(nodes, fused):
+        if s >= threshold or node.tag == "h1":
+            total += 1
             up: Node | None = node
             while up is not None:
-                weight[up] = weight.get(up, 0) + len(text)
+                held[up] = held.get(up, 0) + 1
                 up = up.parent
-    articles = [x for x in weight if x.tag in ("article", "main")]
+    top = max((x for x in held if held[x] == total), key=lambda x: x.path.count("/"))
+    articles = [x for x in held if x.tag in ("article", "main") and _inside(top, {x})]
     if articles:
-        best = max(articles, key=lambda x: (weight[x], -x.number))
-        if weight[best] * 2 >= total:
-            chosen = {x for x in articles if x.tag == best.tag and not _inside(x, {best}) and weight[x] * 2 >= weight[best]} | {best}
-            return "\n".join(t for x, t in nodes if _inside(x, chosen))
-    deepest = max((x for x in weight if weight[x] >= share * total), key=lambda x: x.path.count("/"))
-    while deepest.parent is not None and deepest.tag not in BLOCK - frozenset(("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "td", "tr", "ul", "ol", "dd", "dt")):
-        deepest = deepest.parent
-    return "\n".join(t for x, t in nodes if _inside(x, {deepest}))
+        top = min(articles, key=lambda x: x.number)
+    while top.parent is not None and top.tag not in BLOCK - frozenset(("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "td", "tr", "ul", "ol", "dd", "dt")):
+        top = top.parent
+    return "\n".join(t for x, t in nodes if _inside(x, {top}))
 
 
 def _inside(node: Node | None, tops: set[Node]) -> bool:
