@@ -1,7 +1,7 @@
 """Quality classifier by co-training.
 
 One classifier sees the words and shapes of a text, the other its metadata. Over some rounds each labels the unlabelled
-documents that it is surest of for the other. Both are calibrated on a fold that trained neither, combined there, and the
+documents that it is sure of for the other; executors label all of them and sum the gradients. Both are calibrated on a fold that trained neither, combined there, and the
 combination scores every document. Two targets are trained in this way: poor quality, and toxicity.
 """
 
@@ -17,10 +17,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import utf8
+from quillstone.llm.common import Stages, utf8
 
-#: Rows that are fetched for training: those with the least hash of doc_id. Scoring reads every document.
-LABELLED, POOL = 12_000, 4_000
+#: Labelled rows that are fetched for training: those with the least hash of doc_id. The unlabelled ones stay with the executors.
+LABELLED = 12_000
+#: Steps that a round takes over labelled and given rows together; each reads the features of all unlabelled documents.
+STEPS = 12
+#: Gradients are summed in these fractions of one, so that sums are the same however rows are dealt.
+GRAIN = float(1 << 24)
 WIDTH = 1 << 18
 META_WIDTH = 1 << 12
 SHAPES = b"!#$%&*|<>@/0123456789"
@@ -86,25 +90,36 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train(rows: Rows, y: np.ndarray, width: int, steps: int = 150, penalty: float = 1.0, least: int = 4, tells: float = 3.5) -> tuple[np.ndarray, float]:
+class Fit:
     """Logistic regression with a ridge penalty by AdaGrad. Features stay at 0 that stand in fewer than `least` rows, or
     whose shares in the two classes differ by less than `tells` standard errors: among many words most differ by chance."""
-    held, ones = np.bincount(rows.places, minlength=width), rows.back(y, width)
-    n, n1 = len(y), max(1.0, min(len(y) - 1.0, y.sum()))
-    share = held / max(1, n)
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / max(1.0, n - n1)))
-    often = (held >= least) & (np.abs(ones / n1 - (held - ones) / max(1.0, n - n1)) >= tells * error)
-    w, b = np.zeros(width), math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
-    seen, seen_b = np.full(width, 1e-3), 1e-3
-    for _ in range(steps):
-        g = sigmoid(rows.dot(w) + b) - y
-        step = np.where(often, rows.back(g, width) + penalty * w, 0)
-        seen += step * step
-        w -= 0.3 * step / np.sqrt(seen)
-        s = g.sum()
-        seen_b += s * s
-        b -= 0.3 * s / math.sqrt(seen_b)
-    return w, b
+
+    def __init__(self, rows: Rows, y: np.ndarray, width: int, penalty: float = 1.0, least: int = 4, tells: float = 3.5):
+        self.rows, self.y, self.width, self.penalty, self.least, self.tells = rows, y, width, penalty, least, tells
+        self.w, self.b = np.zeros(width), math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+        self.seen, self.seen_b, self.n = np.full(width, 1e-3), 1e-3, len(y)
+        self.telling(np.zeros(width), np.zeros(width), 0, 0)
+
+    def telling(self, held: np.ndarray, ones: np.ndarray, n: float, n1: float) -> None:
+        """Chooses features by the rows here and others: how many hold each feature, how many of those are 1, and both in all."""
+        held, ones = held + np.bincount(self.rows.places, minlength=self.width), ones + self.rows.back(self.y, self.width)
+        n, n1 = n + len(self.y), n1 + self.y.sum()
+        self.seen, self.seen_b, self.n = self.seen * (n / self.n) ** 2, self.seen_b * (n / self.n) ** 2, n  # gradients grow with the rows
+        n1 = max(1.0, min(n - 1.0, n1))
+        share = held / max(1, n)
+        error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / max(1.0, n - n1)))
+        self.often = (held >= self.least) & (np.abs(ones / n1 - (held - ones) / max(1.0, n - n1)) >= self.tells * error)
+        self.w = np.where(self.often, self.w, 0)
+
+    def step(self, more: np.ndarray | float = 0.0, more_b: float = 0.0) -> None:
+        """One step by the rows here and the gradient of others."""
+        g = sigmoid(self.rows.dot(self.w) + self.b) - self.y
+        step = np.where(self.often, self.rows.back(g, self.width) + more + self.penalty * self.w, 0)
+        self.seen += step * step
+        self.w -= 0.3 * step / np.sqrt(self.seen)
+        s = g.sum() + more_b
+        self.seen_b += s * s
+        self.b -= 0.3 * s / math.sqrt(self.seen_b)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -129,49 +144,104 @@ class Model:
         return a, b, np.column_stack([a, b, np.ones(len(a))]) @ self.mix
 
 
-def cotrain(text: Rows, meta: Rows, y: np.ndarray, rounds: int = 3, sure: float = 0.98, share: float = 0.1) -> Model | None:
-    """y: 1, 0, or NaN where unlabelled. None where a class has fewer than 5 labelled rows.
-
-    Each round a view adds to the other's training rows the unlabelled ones whose class it gives at least `sure`, at
-    most `share` of the pool for each class, the surest first.
-    """
+def start(views: tuple[Rows, Rows], y: np.ndarray, steps: int = 150) -> tuple[list[Fit], np.ndarray] | None:
+    """Both views' fits to three in four of the labelled rows, and the places of the others. y: 1, 0, or NaN where unlabelled.
+    None where a class has fewer than 5 labelled rows."""
     labelled = np.flatnonzero(~np.isnan(y))
     if min((y[labelled] == 1).sum(), (y[labelled] == 0).sum()) < 5:
         return None
     held = labelled[np.arange(len(labelled)) % 4 == 3]
     base = np.setdiff1d(labelled, held)
-    pool = np.flatnonzero(np.isnan(y))
-    views = ((text, WIDTH), (meta, META_WIDTH))
-    given: list[dict[int, float]] = [{}, {}]
-    fits: list = [None, None]
-    for turn in range(rounds):
-        for v, (rows, width) in enumerate(views):
-            at = np.concatenate([base, np.array(sorted(given[v]), dtype=np.int64)])
-            target = np.concatenate([y[base], [given[v][i] for i in sorted(given[v])]])
-            fits[v] = train(rows.take(at), target, width)
-        if turn == rounds - 1 or not len(pool):
-            break
-        for v, (rows, _) in enumerate(views):
-            p = sigmoid(rows.take(pool).dot(fits[v][0]) + fits[v][1])
-            for label, belief in ((1.0, p), (0.0, 1 - p)):
-                best = np.argsort(-belief, kind="stable")[: max(1, int(share * len(pool)))]
-                for i in best[belief[best] >= sure]:
-                    given[1 - v].setdefault(int(pool[i]), label)
-    model = Model(fits[0], fits[1], np.zeros(3))
-    a, b, _ = model.log_odds(text.take(held), meta.take(held))
-    model.mix = calibrate(np.column_stack([a, b]), y[held])
-    return model
-
-
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict[str, Model | None]:
-    """Models for "poor" (quality 0) and "toxic" (toxic 1) from a bounded sample of rows."""
+    fits = [Fit(rows.take(base), y[base], width) for rows, width in zip(views, (WIDTH, META_WIDTH))]
+    for fit in fits:
+        for _ in range(steps):
+            fit.step()
+    return fits, held
+
+
+def _lists(column: pa.Array) -> Rows:
+    return Rows(column.flatten().to_numpy().astype(np.int64), (column.offsets.to_numpy() - column.offsets[0].as_py()).astype(np.int64))
+
+
+def _give(shared, sure: float):
+    """Adds to given, a label for each target and view (-1: none), those of which the other view is sure. What was given stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            given = np.array(b.column("given").flatten()).reshape(b.num_rows, -1).copy()
+            rows = [_lists(b.column(c)) for c in ("t", "m")]
+            for target, fits in shared.value:
+                for v, (w, bias) in enumerate(fits):
+                    p = sigmoid(rows[v].dot(w) + bias)
+                    to = given[:, 2 * target + 1 - v]
+                    to[(to < 0) & (p >= sure)] = 1
+                    to[(to < 0) & (1 - p >= sure)] = 0
+            offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * given.shape[1])
+            yield pa.RecordBatch.from_arrays([b.column("t"), b.column("m"), pa.ListArray.from_arrays(offsets, pa.array(given.ravel()))], ["t", "m", "given"])
+
+    return run
+
+
+def _sums(rows: DataFrame, shared, counts: bool) -> dict[tuple[int, int], np.ndarray]:
+    """By target and view, over the rows given a label: gradients with the bias's last, or numbers of rows and, in a second half,
+    of ones. What reaches the driver is as long as the weights, whatever the number of rows."""
+    parts = [(target, v) for target, _ in shared.value for v in (0, 1)]
+    widths = [(2 if counts else 1) * ((WIDTH, META_WIDTH)[v] + 1) for _, v in parts]
+    starts = np.concatenate([[0], np.cumsum(widths)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(starts[-1])
+        for b in batches:
+            given = np.array(b.column("given").flatten()).reshape(b.num_rows, -1)
+            views = [_lists(b.column(c)) for c in ("t", "m")]
+            for target, fits in shared.value:
+                for v, (w, bias) in enumerate(fits):
+                    y, width = given[:, 2 * target + v], len(w)
+                    at = out[starts[parts.index((target, v))] :]
+                    if counts:
+                        for half, g in enumerate(((y >= 0).astype(np.float64), (y == 1).astype(np.float64))):
+                            at[half * (width + 1) : half * (width + 1) + width] += views[v].back(g, width)
+                            at[half * (width + 1) + width] += g.sum()
+                    else:
+                        g = np.where(y >= 0, np.rint(GRAIN * (sigmoid(views[v].dot(w) + bias) - y)), 0)
+                        at[:width] += views[v].back(g, width)
+                        at[width] += g.sum()
+        k = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(out[k].astype(np.int64))], ["k", "g"])
+
+    total = np.zeros(starts[-1])
+    found = rows.mapInArrow(run, "k long, g long").groupBy("k").agg(F.sum("g").alias("g")).toArrow()
+    total[found["k"].to_numpy()] = found["g"].to_numpy() / (1.0 if counts else GRAIN)
+    return {part: total[lo : lo + n] for part, lo, n in zip(parts, starts, widths)}
+
+
+def cotrain(fits: dict[int, list[Fit]], rows: DataFrame, stages: Stages, rounds: int = 3, sure: float = 0.98, steps: int = STEPS) -> None:
+    """Goes on with both views' fits of each target over unlabelled rows (t, m, given).
+
+    Each round after the first a view gives the other all rows whose class it believes in with at least `sure`, and both
+    take steps over the labelled rows and all rows given so far.
+    """
+    context = rows.sparkSession.sparkContext
+    share = lambda: context.broadcast([(k, [(f.w, f.b) for f in x]) for k, x in fits.items()])
+    for _ in range(rounds - 1):
+        before, rows = rows, stages.put(rows.mapInArrow(_give(share(), sure), "t array<int>, m array<int>, given array<int>"), "given")
+        stages.drop(before)
+        for (k, v), sums in _sums(rows, share(), True).items():
+            held, ones = np.split(sums, 2)
+            fits[k][v].telling(held[:-1], ones[:-1], held[-1], ones[-1])
+        for _ in range(steps):
+            for (k, v), g in _sums(rows, share(), False).items():
+                fits[k][v].step(g[:-1], g[-1])
+    stages.drop(rows)
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict[str, Model | None]:
+    """Models for "poor" (quality 0) and "toxic" (toxic 1) from a bounded sample of labelled rows and all unlabelled ones."""
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("quality"), F.max("toxic").cast("double").alias("toxic"))
     known = known.where("quality is not null or toxic is not null")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    order = F.xxhash64("doc_id")
-    chosen = known.join(ids, "doc_id", "left_semi").orderBy(order, "doc_id").limit(labelled)
-    others = ids.join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(pool).select("doc_id", F.lit(None).cast("double").alias("quality"), F.lit(None).cast("double").alias("toxic"))
-    sample = _columns(docs).join(F.broadcast(chosen.unionByName(others)), "doc_id")  # labelled + pool rows at most
+    chosen = known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    sample = _columns(docs).join(F.broadcast(chosen), "doc_id")  # the labelled rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         see = TextFeatures()
@@ -180,17 +250,31 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
             meta = [meta_features(*x) for x in zip(*[b.column(c).to_pylist() for c in ("source", "lang", "n_chars")])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("toxic"), pa.array(text, pa.list_(pa.int32())), pa.array(meta, pa.list_(pa.int32()))], ["doc_id", "quality", "toxic", "t", "m"])
 
-    rows = sample.mapInArrow(run, "doc_id long, quality double, toxic double, t array<int>, m array<int>").toArrow().sort_by("doc_id")
-    text, meta = (Rows.of(rows.column(c).combine_chunks().to_numpy(zero_copy_only=False)) if len(rows) else Rows.of([]) for c in ("t", "m"))
+    features = "doc_id long, quality double, toxic double, t array<int>, m array<int>"
+    rows = sample.mapInArrow(run, features).toArrow().sort_by("doc_id")
+    views = tuple(Rows.of(rows.column(c).combine_chunks().to_numpy(zero_copy_only=False)) if len(rows) else Rows.of([]) for c in ("t", "m"))
     quality, toxic = (np.array(rows.column(c).to_numpy(), dtype=np.float64) for c in ("quality", "toxic"))
-    return {"poor": cotrain(text, meta, 1 - quality), "toxic": cotrain(text, meta, toxic)}
+    targets = (1 - quality, toxic)
+    started = {k: s for k, y in enumerate(targets) if (s := start(views, y))}
+    if started:
+        stages = Stages(docs.sparkSession, "cotrain")
+        nothing = F.lit(None).cast("double")
+        others = _columns(docs).join(known.select("doc_id"), "doc_id", "left_anti").withColumns({"quality": nothing, "toxic": nothing})
+        others = others.mapInArrow(run, features).select("t", "m", F.expr("array_repeat(-1, 4)").alias("given"))
+        cotrain({k: fits for k, (fits, _) in started.items()}, stages.put(others, "unlabelled"), stages)
+    models: dict[str, Model | None] = {"poor": None, "toxic": None}
+    for k, (fits, held) in started.items():
+        m = models[("poor", "toxic")[k]] = Model((fits[0].w, fits[0].b), (fits[1].w, fits[1].b), np.zeros(3))
+        a, b, _ = m.log_odds(views[0].take(held), views[1].take(held))
+        m.mix = calibrate(np.column_stack([a, b]), targets[k][held])
+    return models
 
 
 def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, most: float = 0.5, with_docs: bool = False) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, most: float = 0.5, with_docs: bool = False) -> DataFrame:
     """doc_id, p_poor, p_toxic, poor_text, poor_meta, toxic_text, toxic_meta (log odds of each view), kept for every row;
     with with_docs, its text, lang, source and n_chars too, so that nothing has to be joined back by doc_id.
 
@@ -198,7 +282,7 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool:
     its own. Labels with nulls train only the target they name; of several labels for a document the worst counts. A
     target with too few labels has probability 0 everywhere. Repeated rows give a row each; an empty table none.
     """
-    models = fit(docs, labels, labelled, pool)
+    models = fit(docs, labels, labelled)
     own = ("text", "lang", "source", "n_chars") if with_docs else ()
     small = {k: m and Model((m.text[0].astype(np.float32), m.text[1]), (m.meta[0].astype(np.float32), m.meta[1]), m.mix) for k, m in models.items()}
     shared = docs.sparkSession.sparkContext.broadcast(small)  # weights of two hashed vocabularies: 2 MB whatever the corpus
