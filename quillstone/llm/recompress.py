@@ -163,7 +163,7 @@ def spans(h: np.ndarray, doc: np.ndarray, ends: np.ndarray, window: int):
 
 def _parse(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(ids, keys, texts):
+        def emit(rows, texts):
             sizes = np.array([len(w) for w in texts], dtype=np.int64)
             ends = np.cumsum(sizes)
             begins = ends - sizes
@@ -179,22 +179,21 @@ def _parse(window: int):
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))]).astype(np.int32))
             part = lambda values: pa.ListArray.from_arrays(offsets, values)
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes), pa.array(digests, pa.string()), part(pa.array((s0 - begins[of]).astype(np.int32))), part(pa.array((s1 - s0).astype(np.int32))), part(signed(name)), part(signed(words))],
-                ["doc_id", "k", "n_words", "all_sha256", "s", "more", "name", "words"],
+                [*[pa.array(c, pa.int64()) for c in zip(*rows)], pa.array(sizes), pa.array(digests, pa.string()), part(pa.array((s0 - begins[of]).astype(np.int32))), part(pa.array((s1 - s0).astype(np.int32))), part(signed(name)), part(signed(words))],
+                ["doc_id", "ka", "kb", "n_words", "all_sha256", "s", "more", "name", "words"],
             )
 
         for batch in batches:
-            ids, keys, texts, total = [], [], [], 0
-            for i, k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))):
-                ids.append(i)
-                keys.append(k)
+            rows, texts, total = [], [], 0
+            for row, text in zip(zip(*[batch.column(c).to_pylist() for c in ("doc_id", "ka", "kb")]), utf8(batch.column("text"))):
+                rows.append(row)
                 texts.append((text or b"").split())
                 total += len(texts[-1])
                 if total >= TOGETHER:
-                    yield emit(ids, keys, texts)
-                    ids, keys, texts, total = [], [], [], 0
-            if ids:
-                yield emit(ids, keys, texts)
+                    yield emit(rows, texts)
+                    rows, texts, total = [], [], 0
+            if rows:
+                yield emit(rows, texts)
 
     return run
 
@@ -204,7 +203,7 @@ def _windows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, text, wanted in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
+            for k, text, wanted in zip(batch.column("k").to_pylist(), utf8(batch.column("text")), batch.column("wanted").to_pylist()):
                 prefix = Prefix(hash_words(text.split()))
                 name = np.repeat(np.array([x["name"] for x in wanted]), [x["more"] + 1 for x in wanted])
                 single = np.repeat(np.array([x["single"] for x in wanted]), [x["more"] + 1 for x in wanted])
@@ -218,7 +217,7 @@ def _remove(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, digests, texts = [], [], []
-            for text, covered in zip(utf8(batch.column(1)), batch.column(2).to_pylist()):
+            for text, covered in zip(utf8(batch.column("text")), batch.column("covered").to_pylist()):
                 words = text.split()
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
                 np.add.at(gone, [x["s"] for x in covered], 1)
@@ -228,7 +227,7 @@ def _remove(with_text: bool):
                 removed.append(len(words) - len(kept))
                 digests.append(hashlib.sha256(left).hexdigest())
                 texts.append(left if with_text else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], ["k", "n_removed", "left_sha256", "left_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("ka"), batch.column("kb"), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], ["ka", "kb", "n_removed", "left_sha256", "left_text"])
 
     return run
 
@@ -242,33 +241,39 @@ def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False)
     """
     spark = docs.sparkSession
     stages = Stages(spark, "substrings")
-    docs = docs_of(docs).withColumn("k", F.xxhash64("doc_id", "text"))
-    parsed = docs.select("doc_id", "k", "text").mapInArrow(_parse(window), "doc_id long, k long, n_words long, all_sha256 string, s array<int>, more array<int>, name array<long>, words array<long>")
-    parsed = stages.put(parsed, "parsed")
+    # A text's own key, of 128 bits. What is covered depends on the text alone, so equal texts are looked up once.
+    docs = docs_of(docs).withColumns({"ka": F.xxhash64("text"), "kb": F.xxhash64(F.lit(1), "text")})
+    parsed = docs.select("doc_id", "ka", "kb", "text").mapInArrow(_parse(window), "doc_id long, ka long, kb long, n_words long, all_sha256 string, s array<int>, more array<int>, name array<long>, words array<long>")
+    parsed = stages.put(parsed.withColumn("k", F.monotonically_increasing_id()), "parsed")
     rows = parsed.select("k", F.explode(F.arrays_zip("s", "more", "name", "words")).alias("x")).select("k", "x.s", "x.more", "x.name", "x.words")
     often = rows.groupBy("name").agg(F.count("*").alias("n"), F.min("words").alias("least"), F.max("words").alias("most")).where("n > 1")
     # Written first, so that the join below has a plain exchange on either side and Spark can split a name that many rows share.
     often = stages.put(often.select("name", (F.col("least") == F.col("most")).alias("alike")), "often")
     stages.tidy()
     shared = stages.put(rows.join(often, "name"), "shared")
+    stages.drop(often)
     stages.tidy()
 
-    end = (F.col("s") + F.col("more") + F.lit(window)).alias("e")
-    proven = shared.where("alike").select("k", "s", end)
-    mixed = shared.where("not alike")
-    kinds = stages.put(mixed.groupBy("name", "words").agg(F.count("*").alias("n"), F.min(F.struct("k", "s", "more")).alias("x")), "kinds")
-    proven = proven.union(mixed.join(kinds.where("n > 1").select("name", "words"), ["name", "words"], "left_semi").select("k", "s", end))
-    wanted = kinds.select("x.k", F.struct("x.s", "x.more", "name", (F.col("n") == 1).alias("single")).alias("x")).groupBy("k").agg(F.collect_list("x").alias("wanted"))
-    texts = docs.select("k", "text")
-    single = texts.join(wanted, "k").groupBy("k").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
-    looked = stages.put(single.mapInArrow(_windows(window), "k long, s int, name long, w long, single boolean"), "windows")
+    # Every kind of span, by name and words; one that stands twice is proven, of the others the windows are compared.
+    kinds = stages.put(shared.groupBy("name", "words").agg(F.count("*").alias("n"), F.min(F.struct("k", "s", "more")).alias("x"), F.first("alike").alias("alike")), "kinds")
+    proven = shared.join(kinds.select("name", "words", (F.col("n") > 1).alias("twice")), ["name", "words"]).where("twice").select("k", "s", (F.col("s") + F.col("more") + F.lit(window)).alias("e"))
+    wanted = kinds.where("not alike").select("x.k", F.struct("x.s", "x.more", "name", (F.col("n") == 1).alias("single")).alias("x")).groupBy("k").agg(F.collect_list("x").alias("wanted"))
+    reps = stages.put(parsed.where(f"n_words >= {window}").groupBy("ka", "kb").agg(F.min("k").alias("k")), "texts")
+    texts = docs.select("ka", "kb", "text")
+    asked = reps.join(wanted, "k").hint("merge")
+    single = texts.join(asked, ["ka", "kb"]).groupBy("ka", "kb").agg(F.first("k").alias("k"), F.first("text").alias("text"), F.first("wanted").alias("wanted"))
+    looked = stages.put(single.select("k", "text", "wanted").mapInArrow(_windows(window), "k long, s int, name long, w long, single boolean"), "windows")
     stages.tidy()
     twice = stages.put(looked.groupBy("name", "w").agg(F.count("*").alias("n")).where("n > 1").select("name", "w"), "twice")
     proven = proven.union(looked.where("single").join(twice, ["name", "w"], "left_semi").select("k", "s", (F.col("s") + F.lit(window)).alias("e")))
-    covered = proven.groupBy("k").agg(F.collect_set(F.struct("s", "e")).alias("covered"))
-    left = texts.join(covered, "k").mapInArrow(_remove(with_text), "k long, n_removed long, left_sha256 string, left_text string").dropDuplicates(["k"])
-    left = stages.put(left, "left")
+    covered = reps.join(proven, "k").groupBy("ka", "kb").agg(F.collect_set(F.struct("s", "e")).alias("covered"))
+    covered = stages.put(covered, "covered")
+    stages.drop(shared)
+    stages.drop(looked)
     stages.tidy()
-    out = parsed.select("doc_id", "k", "n_words", "all_sha256").join(left, "k", "left")
+    left = texts.join(covered.hint("merge"), ["ka", "kb"]).select("ka", "kb", "text", "covered").mapInArrow(_remove(with_text), "ka long, kb long, n_removed long, left_sha256 string, left_text string")
+    left = stages.put(left.dropDuplicates(["ka", "kb"]), "left")
+    stages.tidy()
+    out = parsed.select("doc_id", "ka", "kb", "n_words", "all_sha256").join(left, ["ka", "kb"], "left")
     out = out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("left_sha256", "all_sha256").alias("kept_sha256"), F.col("left_text").alias("kept_text"))
     return out if with_text else out.drop("kept_text")
