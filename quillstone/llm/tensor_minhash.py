@@ -24,6 +24,7 @@ from quillstone.llm.components import components
 
 GROUPS = 24
 WIDTH = 4
+KEY = ("doc_id", "ka", "kb")
 
 
 def shingles(text: bytes | None, size: int) -> np.ndarray:
@@ -72,7 +73,7 @@ def _signatures(docs: DataFrame, size: int, groups: int, width: int) -> DataFram
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 n, high, low, rows = [], [], [], []
-                for text in utf8(part.column(1)):
+                for text in utf8(part.column("text")):
                     u = shingles(text, size)
                     n.append(len(u))
                     whole = xxhash.xxh3_128_intdigest(u.tobytes())
@@ -81,23 +82,27 @@ def _signatures(docs: DataFrame, size: int, groups: int, width: int) -> DataFram
                     rows.append(sign(u) if len(u) else np.empty(0, dtype=np.uint64))
                 offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), signed(np.concatenate(rows)))],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "groups"],
+                    [*[part.column(c) for c in KEY], pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), signed(np.concatenate(rows)))],
+                    [*KEY, "n_shingles", "set_a", "set_b", "groups"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, groups array<long>")
+    return docs.mapInArrow(run, "doc_id long, ka long, kb long, n_shingles long, set_a long, set_b long, groups array<long>")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """The full set of each representative (rep, ka, kb), read from the text again. Rows of one key are equal throughout."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 rows = [shingles(t, size) for t in utf8(part.column(1))]
                 offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), signed(np.concatenate(rows)))], ["doc_id", "set"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), signed(np.concatenate(rows)))], ["rep", "set"])
 
-    return docs.mapInArrow(run, "doc_id long, set array<long>")
+    # A merge join at every size: the texts are shuffled once however many representatives there are.
+    texts = docs.select("ka", "kb", "text").join(wanted.hint("merge"), ["ka", "kb"]).dropDuplicates(["rep"])
+    return texts.select("rep", "text").mapInArrow(run, "rep long, set array<long>")
 
 
 def _agree(percent: int):
@@ -118,18 +123,20 @@ def _agree(percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int, stages: Stages) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int, stages: Stages) -> DataFrame:
     """Those of pairs (a, b) whose full sets share percent of their union."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stages.put(_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
-    with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-    both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets = stages.put(_sets(docs, reps.select("rep", "ka", "kb").join(wanted, "rep"), size), "sets")
+    stages.tidy()
+    with_b = pairs.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
+    both = with_b.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a")
     found = stages.put(both.select("a", "b", "set_a", "set_b").mapInArrow(_agree(percent), "a long, b long"), "links")
     stages.drop(sets)
+    stages.tidy()
     return found
 
 
-def _still_apart(rest: DataFrame, docs: DataFrame, size: int, percent: int, stages: Stages) -> DataFrame:
+def _still_apart(rest: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int, stages: Stages) -> DataFrame:
     """Pairs (a, b) that may link, of documents (key, rep, size, component) that met in a table but are in different components.
 
     With shingles in one order, the rarest first, a pair that links shares one among the first of both, so early that what
@@ -141,8 +148,9 @@ def _still_apart(rest: DataFrame, docs: DataFrame, size: int, percent: int, stag
     largest = stages.put(sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("x")).select("key", F.col("x.component").alias("largest")), "largest")
     members = rest.join(largest, "key").groupBy("rep", "component", "size").agg(F.max((F.col("component") != F.col("largest")).cast("int")).alias("outside"))
     members = stages.put(members, "members")
-    sets = _sets(docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size)
-    rows = stages.put(sets.select(F.col("doc_id").alias("rep"), F.explode("set").alias("x")), "shingles")
+    sets = _sets(docs, reps.select("rep", "ka", "kb").join(members.select("rep").distinct(), "rep"), size)
+    rows = stages.put(sets.select("rep", F.explode("set").alias("x")), "shingles")
+    stages.tidy()
     often = stages.put(rows.groupBy("x").agg(F.count("*").alias("n")).where("n > 1"), "often")
     # A shingle that one document alone holds can't be shared; it takes a place before the others all the same.
     held = rows.join(often, "x").join(members, "rep")
@@ -167,51 +175,64 @@ def _shared_keys(rows: DataFrame, key: str, stages: Stages) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, groups: int = GROUPS, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (doc_id = component_id) for every row.
 
-    size: words in a shingle; percent: the least similarity of linked documents. Texts without words (null, empty) have
-    no shingles, link with nothing and are kept; equal sets link as one. doc_id is taken to be unique and not null; rows
-    that repeat a doc_id each come back, with that document's component. An empty table gives no rows; other columns are
-    ignored.
+    size: words in a shingle; percent: the least similarity of linked documents. component_id is the least doc_id among the
+    documents that can be reached, null where all of these are null. Texts without words (null, empty) have no shingles,
+    link with nothing and keep their own doc_id; equal sets link as one. Rows are judged by their texts: rows that share a
+    doc_id, or have none, are linked like any others, and each gives its row. An empty table gives no rows; other columns
+    are ignored.
     """
     spark = docs.sparkSession
-    docs = docs_of(docs)
+    docs = docs_of(docs).withColumns({"ka": F.xxhash64("doc_id", "text"), "kb": F.xxhash64(F.lit(1), "doc_id", "text")})
     stages = Stages(spark, "near")
-    signed_docs = stages.put(_signatures(docs, size, groups, width), "signatures")
-    reps = signed_docs.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("groups").alias("groups"), F.first("n_shingles").alias("size"))
-    reps = stages.put(reps, "representatives")
+    signed_docs = stages.put(_signatures(docs.select(*KEY, "text"), size, groups, width), "signatures")
+    reps = signed_docs.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min(F.struct("ka", "kb")).alias("k"), F.min("doc_id").alias("least"), F.first("groups").alias("groups"), F.first("n_shingles").alias("size"))
+    reps = stages.put(reps.select("set_a", "set_b", "k.ka", "k.kb", "least", "groups", "size").withColumn("rep", F.monotonically_increasing_id()), "representatives")
 
     alive = _shared_keys(reps.select("rep", F.explode("groups").alias("g")), "g", stages)
     mine = alive.groupBy("rep").agg(F.sort_array(F.collect_set("g")).alias("g")).where("size(g) > 1")
     mine = stages.put(mine, "groups")
+    stages.tidy()
     # Two groups make a table's key; a group's values carry its number, so equal keys mean equal tables.
     pairs = F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, F.size("g")), lambda y: F.xxhash64(x, y))))
-    tables = stages.put(_shared_keys(mine.select("rep", F.explode(pairs).alias("key")), "key", stages), "tables")
-    held = tables.groupBy("key").agg(F.count("*").alias("n"))
-    held = stages.put(held, "held")
-    weight = tables.join(held, "key").groupBy("rep").agg(F.sum("n").alias("weight"))
-    weight = weight.join(reps.select("rep", "size"), "rep")
-    active, left = stages.count(tables.join(weight, "rep").select("key", "rep", "weight", "size", F.col("rep").alias("component")), "active")
-    links = None
+    tables, left = stages.count(_shared_keys(mine.select("rep", F.explode(pairs).alias("key")), "key", stages), "tables")
+    stages.drop(mine)
+    stages.tidy()
+    links = label = None
     if left:
-        centres = active.groupBy("key").agg(F.max(F.struct("weight", F.negative("rep").alias("rep"))).alias("x")).select("key", F.negative("x.rep").alias("a"))
+        held = stages.put(tables.groupBy("key").agg(F.count("*").alias("n")), "held")
+        weight = stages.put(tables.join(held, "key").groupBy("rep").agg(F.sum("n").alias("weight")), "weight")
+        stages.drop(held)
+        centres = tables.join(weight, "rep").groupBy("key").agg(F.max(F.struct("weight", F.negative("rep").alias("rep"))).alias("x")).select("key", F.negative("x.rep").alias("a"))
         centres = stages.put(centres, "centres")
-        met = active.join(centres, "key").where("rep <> a")
+        stages.drop(weight)
+        met = tables.join(centres, "key").where("rep <> a")
         tested = stages.put(met.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "pairs")
-        links = _linked(tested, docs, size, percent, stages)
+        stages.tidy()
+        links = _linked(tested, docs, reps, size, percent, stages)
         label = components(links, stages)
-        rest = active.join(centres.withColumnRenamed("a", "rep"), ["key", "rep"], "left_anti").drop("component")
-        rest = rest.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("component"))
+        stages.tidy()
+        rest = tables.join(centres.withColumnRenamed("a", "rep"), ["key", "rep"], "left_anti")
+        rest = rest.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
         rest = stages.put(rest, "rest")
+        stages.drop(centres)
+        stages.drop(tables)
+        stages.tidy()
         apart = stages.put(rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "apart")
-        rest, left = stages.count(rest.join(apart, "key", "left_semi"), "active")
+        before, (rest, left) = rest, stages.count(rest.join(apart, "key", "left_semi").join(reps.select("rep", "size"), "rep"), "active")
+        stages.drop(before)
+        stages.tidy()
     if left:
-        more = _still_apart(rest, docs, size, percent, stages).join(tested, ["a", "b"], "left_anti")
-        links = stages.put(links.union(_linked(stages.put(more, "pairs"), docs, size, percent, stages)), "links")
+        more = _still_apart(rest, docs, reps, size, percent, stages).join(tested, ["a", "b"], "left_anti")
+        more = stages.put(more, "pairs")
+        stages.tidy()
+        links = stages.put(links.union(_linked(more, docs, reps, size, percent, stages)), "links")
         label = components(links, stages)
-    classes = reps.select("set_a", "set_b", "rep")
-    if links is not None:
-        classes = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("class"))
-    else:
-        classes = classes.withColumnRenamed("rep", "class")
-    out = signed_docs.drop("groups").join(classes, ["set_a", "set_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("class")).otherwise(F.col("doc_id"))
+    classes = reps.select("set_a", "set_b", "least", "rep")
+    if label is not None:
+        classes = stages.put(classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "least", F.coalesce("component", "rep").alias("class")), "classes")
+        # The nodes' own numbers are in no order of doc_id.
+        classes = classes.drop("least").join(classes.groupBy("class").agg(F.min("least").alias("least")), "class")
+    stages.tidy()
+    out = signed_docs.drop("groups").join(classes.select("set_a", "set_b", "least"), ["set_a", "set_b"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
