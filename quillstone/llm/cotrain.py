@@ -39,7 +39,7 @@ class TextFeatures:
         self.known: dict[bytes, int] = {}
 
     def place(self, word: bytes) -> int:
-        if len(self.known) > 400_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         p = self.known[word] = xxhash.xxh3_64_intdigest(word) % WIDTH
         return p
@@ -56,7 +56,7 @@ class TextFeatures:
         shapes.append(b"\0u%d" % (10 * (len(text) - len(text.translate(None, _UPPER))) // (len(text) + 1)))
         lines = text.split(b"\n")
         shapes.append(b"\0l%d" % (10 * len(set(lines)) // len(lines)))
-        return list(dict.fromkeys(out + [known(s) if known(s) is not None else place(s) for s in shapes]))
+        return np.unique(np.array(out + [known(s) if known(s) is not None else place(s) for s in shapes], dtype=np.int32))
 
 
 def meta_features(source, lang, n_chars) -> list[int]:
@@ -236,19 +236,24 @@ def cotrain(fits: dict[int, list[Fit]], rows: DataFrame, stages: Stages, rounds:
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict[str, Model | None]:
-    """Models for "poor" (quality 0) and "toxic" (toxic 1) from a bounded sample of labelled rows and all unlabelled ones."""
+    """Models for "poor" (quality 0) and "toxic" (toxic 1) from a bounded sample of labelled rows and all others, as unlabelled ones."""
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("quality"), F.max("toxic").cast("double").alias("toxic"))
     known = known.where("quality is not null or toxic is not null")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
     chosen = known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    sample = _columns(docs).join(F.broadcast(chosen), "doc_id")  # the labelled rows at most
+    chosen = F.broadcast(chosen)  # `labelled` rows at most
+    # One row for each labelled id, however many share it: what is fetched stays bounded.
+    sample = _columns(docs).join(chosen, "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "quality", "toxic", "x.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         see = TextFeatures()
-        for b in batches:
-            text = [see(t) for t in utf8(b.column("text"))]
-            meta = [meta_features(*x) for x in zip(*[b.column(c).to_pylist() for c in ("source", "lang", "n_chars")])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("toxic"), pa.array(text, pa.list_(pa.int32())), pa.array(meta, pa.list_(pa.int32()))], ["doc_id", "quality", "toxic", "t", "m"])
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                b = batch.slice(lo, 256)
+                text = [see(t) for t in utf8(b.column("text"))]
+                meta = [meta_features(*x) for x in zip(*[b.column(c).to_pylist() for c in ("source", "lang", "n_chars")])]
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(t) for t in text])]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("toxic"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(text))), pa.array(meta, pa.list_(pa.int32()))], ["doc_id", "quality", "toxic", "t", "m"])
 
     features = "doc_id long, quality double, toxic double, t array<int>, m array<int>"
     rows = sample.mapInArrow(run, features).toArrow().sort_by("doc_id")
@@ -259,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict[st
     if started:
         stages = Stages(docs.sparkSession, "cotrain")
         nothing = F.lit(None).cast("double")
-        others = _columns(docs).join(known.select("doc_id"), "doc_id", "left_anti").withColumns({"quality": nothing, "toxic": nothing})
+        others = _columns(docs).join(chosen.select("doc_id"), "doc_id", "left_anti").withColumns({"quality": nothing, "toxic": nothing})
         others = others.mapInArrow(run, features).select("t", "m", F.expr("array_repeat(-1, 4)").alias("given"))
         cotrain({k: fits for k, (fits, _) in started.items()}, stages.put(others, "unlabelled"), stages)
     models: dict[str, Model | None] = {"poor": None, "toxic": None}
