@@ -17,13 +17,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quillstone.llm.common import docs_of
 
 #: Pre-tokens whose encoding a worker keeps, in each of two generations. A bound on memory; results don't depend on it.
 CACHE = 250_000
 NEVER = 1 << 60
+#: Beyond these letters and punctuation marks, Unicode tables of different versions differ: there the library cuts the text.
+RARE = regex.compile("[^\u0000-\u024F\u0391-\u03A1\u03A4-\u03A9\u03B1-\u03C9\u0410-\u044F\u2010-\u2027\u2030-\u205E\u20AC]")
 
 
 def byte_letters() -> dict[str, int]:
@@ -116,6 +118,9 @@ class PrefixBpe:
         self.special_in = regex.compile(f"({names})") if names else None
         found = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.pieces = regex.compile(found[0])
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
+        self.byte = {ord(letter): b for letter, b in letters.items()}
 
     def _derive(self, token: int, symbols: tuple[int, ...]) -> bool:
         """Merges a token's own symbols once, when the vocabulary is read, to learn its parts and whether it comes out."""
@@ -194,14 +199,16 @@ class PrefixBpe:
             i = before[i]
         return ids[::-1]
 
-    def normal(self, text: str) -> str:
-        """NFC, then the lower case of each character by itself. White space is dropped by the pattern anyway."""
-        if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # str.lower() looks at its neighbours
-                return "".join(map(str.lower, text))
-        return text.lower()
+    def cut(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special tokens: NFC, the lower case of each character by itself, then the file's pattern."""
+        if text.isascii():
+            return self.pieces.findall(text.lower())
+        if RARE.search(text):
+            return [bytes(map(self.byte.__getitem__, map(ord, p))).decode("utf-8", "surrogatepass") for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        # str.lower() looks at the neighbours of a capital sigma.
+        return self.pieces.findall("".join(map(str.lower, text)) if "\u03A3" in text else text.lower())
 
     def runs(self, text: str) -> Iterator[tuple[bool, list[str]]]:
         """(False, pre-tokens) and (True, [special token]) in order."""
@@ -209,7 +216,7 @@ class PrefixBpe:
             if i % 2:
                 yield True, [part]
             elif part:
-                yield False, self.pieces.findall(self.normal(part))
+                yield False, self.cut(part)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -288,7 +295,3 @@ def encode_documents(docs: DataFrame, vocabulary: str, with_ids: bool = False) -
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
     return docs_of(docs).mapInArrow(run, schema)
-
-
-def encode_query(docs: DataFrame, vocabulary: str) -> DataFrame:
-    return encode_documents(docs, vocabulary).select("doc_id", "n_tokens", "ids_sha256", F.col("decoded_sha256"))
