@@ -117,7 +117,7 @@ def test_bpe_pieces_against_the_library():
 
 
 def test_lm(docs, empty):
-    got = by_id(class_lm.lm_scores(docs, listed=20, own=8, endings=5, classes=4))
+    got = by_id(class_lm.lm_scores(docs, listed=20, own=8, classes=4))
     train = [t for i, t in ROWS if zlib.crc32(str(i).encode()) % 10]
     c = Counter(w for t in train for w in words(lowered(t)))
     n = sum(c.values()) + len(train)
