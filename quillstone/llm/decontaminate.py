@@ -1,7 +1,7 @@
 """Benchmark decontamination by winnowing.
 
 Of every sliding window of w k-grams the smallest hash is kept, on both sides; spans of k + w - 1 equal words share one for
-certain. k and w follow from the shortest window that the benchmark asks for, so no such window is missed. Where a
+certain. k and w follow from the length of the windows that the benchmark asks for, one index for each length, so no window is missed. Where a
 fingerprint is shared, the hit is extended to whole windows and these are compared word by word.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Stages, gram_hashes, hash_words, keyed, signed, utf8
+from quillstone.llm.common import Stages, gram_hashes, hash_words, keyed, mix, signed, utf8
 
 #: Benchmark windows up to which they go to every worker (about 60 MB there); beyond, both sides are shuffled and joined.
 LOCAL_WINDOWS = 200_000
@@ -83,28 +83,45 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, local
             if words:
                 lengths[min(window, len(words))] = None
         if len(windows) <= local_windows:
-            return _local(docs, [w for _, w in rows if w], windows, sorted(lengths), out, spans, carry)
+            return _local(docs, [w for _, w in rows if w], windows, sorted(lengths), window, out, spans, carry)
     return _shuffled(docs, items, window, out, spans, carry)
 
 
-def _choose(shortest: int) -> tuple[int, int]:
-    k = min(5, shortest)
-    return k, shortest - k + 1
+def _choose(length: int, window: int) -> tuple[int, int]:
+    """k and w for windows of one length: an index for each length, so that a short item costs the longer ones nothing."""
+    k = min(5, length) if length == window else length
+    return k, length - k + 1
 
 
-def _local(docs, item_words, windows, lengths, out, spans, carry):
-    k, w = _choose(lengths[0] if lengths else 1)
-    prints = np.unique(np.concatenate([np.empty(0, np.uint64), *[gram_hashes(h, k)[winnow(h, k, w)] for h in map(hash_words, item_words)]]))
+def _marks(words: list[bytes], lengths: list[int], window: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, fingerprints) of the k-grams that winnowing keeps for each length of windows."""
+    h, out = hash_words(words), []
+    for length in lengths:
+        k, w = _choose(length, window)
+        if len(h) >= length:
+            at = winnow(h, k, w)
+            out.append((length, at, mix(gram_hashes(h, k)[at] + np.uint64(length))))
+    return out
+
+
+def _starts(places: np.ndarray, length: int, window: int, n: int) -> list[int]:
+    """Where the windows begin that hold one of the k-grams at these places."""
+    k, _ = _choose(length, window)
+    if not len(places):
+        return []
+    lo, hi = np.maximum(0, places + k - length), np.minimum(places, n - length)
+    return np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi)])).tolist()
+
+
+def _local(docs, item_words, windows, lengths, window, out, spans, carry):
+    marks = [f for words in item_words for _, _, f in _marks(words, [min(window, len(words))], window)]
+    prints = np.unique(np.concatenate([np.empty(0, np.uint64), *marks]))
     known = docs.sparkSession.sparkContext.broadcast((windows, prints))
 
     def scan(words: list[bytes], windows, prints) -> list[tuple[str, int, int]]:
-        h = hash_words(words)
-        at = winnow(h, k, w)
-        hits = at[np.isin(gram_hashes(h, k)[at], prints)] if len(at) else at
         found = set()
-        for length in lengths if len(hits) else ():
-            starts = {s for p in hits.tolist() for s in range(max(0, p + k - length), min(p, len(words) - length) + 1)}
-            for s in starts:
+        for length, at, fp in _marks(words, lengths, window):
+            for s in _starts(at[np.isin(fp, prints)], length, window, len(words)):
                 for item in windows.get(b" ".join(words[s : s + length]), ()):
                     found.add((item, s, s + length))
         return sorted(found)
@@ -112,9 +129,10 @@ def _local(docs, item_words, windows, lengths, out, spans, carry):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, prints = known.value
         for batch in batches:
-            words = [words_of(t) for t in utf8(batch.column(1))]
-            found = [scan(x, windows, prints) if len(x) >= k and windows else [] for x in words]
-            yield _rows(batch.column(0), [len(x) for x in words], found, spans, batch, carry)
+            for lo in range(0, batch.num_rows, 512):
+                b = batch.slice(lo, 512)
+                words = [words_of(t) for t in utf8(b.column(1))]
+                yield _rows(b.column(0), [len(x) for x in words], [scan(x, windows, prints) if windows else [] for x in words], spans, b, carry)
 
     return docs.mapInArrow(run, out)
 
@@ -145,20 +163,20 @@ def _shuffled(docs, items, window, out, spans, carry):
             yield pa.RecordBatch.from_arrays([pa.array([min(window, len(words_of(t))) for t in utf8(b.column(1))], pa.int32())], ["n"])
 
     lengths = sorted(r[0] for r in items.mapInArrow(lengths_of, "n int").where("n > 0").distinct().collect())  # window values at most
-    k, w = _choose(lengths[0] if lengths else 1)
 
     def prints(batches):
         for b in batches:
             for t in utf8(b.column(1)):
-                h = hash_words(words_of(t))
-                yield pa.RecordBatch.from_arrays([signed(np.unique(gram_hashes(h, k)[winnow(h, k, w)]) if len(h) >= k else np.empty(0, np.uint64))], ["fp"])
+                words = words_of(t)
+                fps = [f for _, _, f in _marks(words, [min(window, len(words))], window)] if words else []
+                yield pa.RecordBatch.from_arrays([signed(np.unique(np.concatenate([np.empty(0, np.uint64), *fps])))], ["fp"])
 
     def doc_prints(batches):
         for b in batches:
-            for key, t in zip(b.column("row").to_pylist(), utf8(b.column("text"))):
-                h = hash_words(words_of(t))
-                fp = np.unique(gram_hashes(h, k)[winnow(h, k, w)]) if len(h) >= k else np.empty(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(fp), pa.int64()), signed(fp)], ["row", "fp"])
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                fps = [np.unique(np.concatenate([np.empty(0, np.uint64), *[f for _, _, f in _marks(words_of(t), lengths, window)]])) for t in utf8(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("row").to_numpy(), [len(f) for f in fps])), signed(np.concatenate(fps))], ["row", "fp"])
 
     def item_windows(batches):
         for b in batches:
@@ -167,14 +185,16 @@ def _shuffled(docs, items, window, out, spans, carry):
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(x), pa.string()), pa.array(x, pa.binary())], ["item_id", "words"])
 
     def doc_windows(batches):
+        """The windows around the shared fingerprints of a document, and no others."""
         for b in batches:
-            for key, t in zip(b.column("row").to_pylist(), utf8(b.column("text"))):
-                words = words_of(t)
-                x = [(s, n) for n in lengths for s in range(len(words) - n + 1)]
+            for key, t, shared in zip(b.column("row").to_pylist(), utf8(b.column("text")), b.column("fps")):
+                words, shared = words_of(t), shared.values.to_numpy().view(np.uint64)
+                x = [(s, n) for n, at, fp in _marks(words, lengths, window) for s in _starts(at[np.isin(fp, shared)], n, window, len(words))]
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(x), pa.int64()), pa.array([s for s, _ in x], pa.int32()), pa.array([n for _, n in x], pa.int32()), pa.array([b" ".join(words[s : s + n]) for s, n in x], pa.binary())], ["row", "start", "n", "words"])
 
-    shared = docs.mapInArrow(doc_prints, "row long, fp long").join(items.mapInArrow(prints, "fp long").distinct(), "fp", "left_semi").select("row").distinct()
-    near = docs.join(shared, "row", "left_semi").select("row", "text")
+    fingerprints = items.mapInArrow(prints, "fp long").distinct()
+    shared = docs.mapInArrow(doc_prints, "row long, fp long").join(fingerprints, "fp", "left_semi").groupBy("row").agg(F.collect_set("fp").alias("fps"))  # a document's own
+    near = docs.join(shared, "row").select("row", "text", "fps")
     found = near.mapInArrow(doc_windows, "row long, start int, n int, words binary").join(items.mapInArrow(item_windows, "item_id string, words binary").distinct(), "words")
     per_doc = found.groupBy("row").agg(F.collect_set(F.struct("item_id", "start", (F.col("start") + F.col("n")).alias("end"))).alias("hits"))
 
