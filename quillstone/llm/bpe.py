@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from quillstone.llm.common import docs_of
+from quillstone.llm.common import docs_of, lean
 
 #: Pre-tokens whose encoding a worker keeps, in each of two generations. A bound on memory; results don't depend on it.
 CACHE = 250_000
@@ -294,4 +294,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, with_ids: bool = False) -
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(flat), dtype=np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
-    return docs_of(docs).mapInArrow(run, schema)
+    return docs_of(docs).mapInArrow(lean(run), schema)

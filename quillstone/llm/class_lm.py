@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Stages, docs_of, utf8
+from quillstone.llm.common import Stages, docs_of, lean, utf8
 
 #: Words whose counts and classes every worker holds, and the bytes that one of them may have: 40 MB there; all others are joined.
 LISTED, LISTED_BYTES = 200_000, 40
@@ -149,7 +149,7 @@ def lm_scores(docs: DataFrame, listed: int = LISTED, own: int = OWN, classes: in
     stages = Stages(spark, "lm")
     docs = docs_of(docs).withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0)
     train = docs.where(~F.col("held_out"))
-    counts = stages.put(train.select("text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
+    counts = stages.put(train.select("text").mapInArrow(lean(_count), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     stages.tidy()
     ends = train.count()
     # Counts in eighths of a doubling: a few hundred rows at most, from which the least listed count follows.
@@ -182,7 +182,7 @@ def lm_scores(docs: DataFrame, listed: int = LISTED, own: int = OWN, classes: in
             ends_at = np.concatenate([[0], np.cumsum(flat < 0)])[offsets].astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.ListArray.from_arrays(pa.array(ends_at), pa.array(tail, pa.binary()))], ["doc_id", "held_out", "place", "tail"])
 
-    rows = docs.select("doc_id", "held_out", "text").mapInArrow(places, "doc_id long, held_out boolean, place array<int>, tail array<binary>")
+    rows = docs.select("doc_id", "held_out", "text").mapInArrow(lean(places), "doc_id long, held_out boolean, place array<int>, tail array<binary>")
     rows = stages.put(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     read = rows.where("not held_out").select("place", "tail")
 
@@ -195,7 +195,7 @@ def lm_scores(docs: DataFrame, listed: int = LISTED, own: int = OWN, classes: in
         keys = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(found[keys])], ["k", "c"])
 
-    met = read.select("place").mapInArrow(item_pairs, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()  # (own + 2) squared at most
+    met = read.select("place").mapInArrow(lean(item_pairs), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()  # (own + 2) squared at most
     pairs = np.zeros((own + 2) ** 2)
     pairs[met["k"].to_numpy()] = met["c"].to_numpy()
     pairs = pairs.reshape(own + 2, own + 2)
@@ -249,15 +249,15 @@ def lm_scores(docs: DataFrame, listed: int = LISTED, own: int = OWN, classes: in
                 x = x.flatten()
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(into(x.field(0).to_numpy(), x.field(1).to_numpy(), starts).astype(np.int32))], ["w", "class"])
 
-        return lambda found: found.groupBy("w", "code").agg(F.sum("n").alias("n")).groupBy("w").agg(F.collect_list(F.struct("code", "n")).alias("x")).mapInArrow(run, f"w {kind}, class int")
+        return lambda found: found.groupBy("w", "code").agg(F.sum("n").alias("n")).groupBy("w").agg(F.collect_list(F.struct("code", "n")).alias("x")).mapInArrow(lean(run), f"w {kind}, class int")
 
     at = np.arange(len(log_counts)) % classes
     at[:own] = first
     if own < len(log_counts):
-        moved = move("int")(read.select("place").mapInArrow(listed_contexts, "w int, code int, n long")).toArrow()  # listed words at most
+        moved = move("int")(read.select("place").mapInArrow(lean(listed_contexts), "w int, code int, n long")).toArrow()  # listed words at most
         at[moved["w"].to_numpy()] = moved["class"].to_numpy()
     stages.tidy()
-    moved = move("binary")(read.select("place", "tail").mapInArrow(tail_contexts, "w binary, code int, n long")).withColumnRenamed("w", "word")
+    moved = move("binary")(read.select("place", "tail").mapInArrow(lean(tail_contexts), "w binary, code int, n long")).withColumnRenamed("w", "word")
     rare = counts.where(~often).join(moved.hint("merge"), "word", "left").select("word", "c", F.coalesce("class", F.pmod(F.xxhash64("word"), F.lit(classes))).cast("int").alias("class"))
     rare = stages.put(rare, "rare")
     stages.tidy()
@@ -289,7 +289,7 @@ def lm_scores(docs: DataFrame, listed: int = LISTED, own: int = OWN, classes: in
                 sums.append(log_sum)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(seqs, pa.binary()), pa.array(known, pa.int64()), pa.array(sums, pa.float64())], ["doc_id", "held_out", "classes", "known", "log_sum"])
 
-    filled = rows.select("row", "doc_id", "held_out", "place").join(tail, "row", "left").mapInArrow(fill, "doc_id long, held_out boolean, classes binary, known long, log_sum double")
+    filled = rows.select("row", "doc_id", "held_out", "place").join(tail, "row", "left").mapInArrow(lean(fill), "doc_id long, held_out boolean, classes binary, known long, log_sum double")
     filled = stages.put(filled, "classes")
     stages.drop(rows)
     stages.tidy()
@@ -304,7 +304,7 @@ def lm_scores(docs: DataFrame, listed: int = LISTED, own: int = OWN, classes: in
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(c * c)), pa.array(found)], ["k", "c"])
 
     moves = np.zeros((classes + 2) ** 2)
-    for r in filled.where("not held_out").select("classes").mapInArrow(class_pairs, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect():
+    for r in filled.where("not held_out").select("classes").mapInArrow(lean(class_pairs), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect():
         moves[r["k"]] = r["c"]
     moves = moves.reshape(classes + 2, classes + 2)
     share = (moves.sum(axis=0) + 0.5) / (moves.sum() + 0.5 * (classes + 2))
@@ -326,7 +326,7 @@ def lm_scores(docs: DataFrame, listed: int = LISTED, own: int = OWN, classes: in
                 sums.append(float(term[c[:-1], c[1:]].sum() + at_end[c[-1]]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(n, pa.int64()), b.column("known"), b.column("log_sum"), pa.array(sums, pa.float64())], ["doc_id", "held_out", "n_tokens", "known", "log_sum", "class_sum"])
 
-    out = filled.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, known long, log_sum double, class_sum double")
+    out = filled.mapInArrow(lean(score), "doc_id long, held_out boolean, n_tokens long, known long, log_sum double, class_sum double")
     out = out.select(
         "doc_id",
         "held_out",

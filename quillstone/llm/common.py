@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +72,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def trim() -> None:
+    """Gives memory that nothing holds back to the system; idle workers would keep it beside those at work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """A function over record batches that reads them in slices and trims the worker's memory behind each batch."""
+
+    def reading(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            for lo in range(0, n, rows):
+                yield batch.slice(lo, rows)
+            del batch
+            if n > rows:
+                trim()
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(reading(batches, 512))
+        trim()
+
+    return out
+
+
 class Stages:
     """Tables written by one run of an operator under the shared folder.
 

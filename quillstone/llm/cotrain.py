@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Stages, utf8
+from quillstone.llm.common import Stages, lean, utf8
 
 #: Labelled rows that are fetched for training: those with the least hash of doc_id. The unlabelled ones stay with the executors.
 LABELLED = 12_000
@@ -163,75 +163,121 @@ def _lists(column: pa.Array) -> Rows:
     return Rows(column.flatten().to_numpy().astype(np.int64), (column.offsets.to_numpy() - column.offsets[0].as_py()).astype(np.int64))
 
 
-def _give(shared, sure: float):
-    """Adds to given, a label for each target and view (-1: none), those of which the other view is sure. What was given stays."""
+def _given(views: list[Rows], rounds: list, sure: float, n: int) -> np.ndarray:
+    """A label for each row, target and view (-1: none): that of the first round's fits of the other view which were sure of it."""
+    given = np.full((n, 4), -1, dtype=np.int8)
+    for fits in rounds:
+        before = given.copy()
+        for target, pair in fits:
+            for v, (w, bias) in enumerate(pair):
+                p = sigmoid(views[v].dot(w) + bias)
+                to, free = given[:, 2 * target + 1 - v], before[:, 2 * target + 1 - v] < 0
+                to[free & (p >= sure)] = 1
+                to[free & (1 - p >= sure)] = 0
+    return given
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+#: Sums come in parts of so many features, each as one row.
+PART = 1 << 12
+
+
+def _summed(rows: DataFrame, run, lengths: list[int]) -> list[np.ndarray]:
+    """Sums over all rows of the vectors that run gives for each batch, which have these lengths. What reaches the driver is as long
+    as they are, whatever the number of rows; a task hands on its sums in parts."""
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+
+    def parts(found: dict[int, np.ndarray]) -> pa.RecordBatch:
+        found = {k: x for k, x in sorted(found.items()) if x.any()}
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["part", "sums"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(starts[-1] + PART)
         for b in batches:
-            given = np.array(b.column("given").flatten()).reshape(b.num_rows, -1).copy()
-            rows = [_lists(b.column(c)) for c in ("t", "m")]
-            for target, fits in shared.value:
-                for v, (w, bias) in enumerate(fits):
-                    p = sigmoid(rows[v].dot(w) + bias)
-                    to = given[:, 2 * target + 1 - v]
-                    to[(to < 0) & (p >= sure)] = 1
-                    to[(to < 0) & (1 - p >= sure)] = 0
-            offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * given.shape[1])
-            yield pa.RecordBatch.from_arrays([b.column("t"), b.column("m"), pa.ListArray.from_arrays(offsets, pa.array(given.ravel()))], ["t", "m", "given"])
-
-    return run
-
-
-def _sums(rows: DataFrame, shared, counts: bool) -> dict[tuple[int, int], np.ndarray]:
-    """By target and view, over the rows given a label: gradients with the bias's last, or numbers of rows and, in a second half,
-    of ones. What reaches the driver is as long as the weights, whatever the number of rows."""
-    parts = [(target, v) for target, _ in shared.value for v in (0, 1)]
-    widths = [(2 if counts else 1) * ((WIDTH, META_WIDTH)[v] + 1) for _, v in parts]
-    starts = np.concatenate([[0], np.cumsum(widths)])
+            for i, x in run(b):
+                out[starts[i] : starts[i + 1]] += x
+        yield parts({k: out[k * PART : (k + 1) * PART] for k in range(-(-starts[-1] // PART))})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(starts[-1])
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, np.ndarray] = {}
         for b in batches:
-            given = np.array(b.column("given").flatten()).reshape(b.num_rows, -1)
-            views = [_lists(b.column(c)) for c in ("t", "m")]
-            for target, fits in shared.value:
-                for v, (w, bias) in enumerate(fits):
-                    y, width = given[:, 2 * target + v], len(w)
-                    at = out[starts[parts.index((target, v))] :]
-                    if counts:
-                        for half, g in enumerate(((y >= 0).astype(np.float64), (y == 1).astype(np.float64))):
-                            at[half * (width + 1) : half * (width + 1) + width] += views[v].back(g, width)
-                            at[half * (width + 1) + width] += g.sum()
-                    else:
-                        g = np.where(y >= 0, np.rint(GRAIN * (sigmoid(views[v].dot(w) + bias) - y)), 0)
-                        at[:width] += views[v].back(g, width)
-                        at[width] += g.sum()
-        k = np.flatnonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(out[k].astype(np.int64))], ["k", "g"])
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = np.frombuffer(x)
+                out[k] = out[k] + x if k in out else x
+        yield parts(out)
 
-    total = np.zeros(starts[-1])
-    found = rows.mapInArrow(run, "k long, g long").groupBy("k").agg(F.sum("g").alias("g")).toArrow()
-    total[found["k"].to_numpy()] = found["g"].to_numpy() / (1.0 if counts else GRAIN)
-    return {part: total[lo : lo + n] for part, lo, n in zip(parts, starts, widths)}
+    schema = "part int, sums binary"
+    total = np.zeros(starts[-1] + PART)
+    for r in rows.mapInArrow(lean(each), schema).repartition("part").mapInArrow(merged, schema).toLocalIterator():
+        total[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(bytes(r["sums"]))
+    return [total[lo:hi] for lo, hi in zip(starts[:-1], starts[1:])]
 
 
 def cotrain(fits: dict[int, list[Fit]], rows: DataFrame, stages: Stages, rounds: int = 3, sure: float = 0.98, steps: int = STEPS) -> None:
-    """Goes on with both views' fits of each target over unlabelled rows (t, m, given).
+    """Goes on with both views' fits of each target over unlabelled rows (t, m).
 
     Each round after the first a view gives the other all rows whose class it believes in with at least `sure`, and both
-    take steps over the labelled rows and all rows given so far.
+    take steps over the labelled rows and all rows given so far. A round reads the rows twice: to choose the features that
+    tell, and to write down those of each row given. Its steps read these.
     """
     context = rows.sparkSession.sparkContext
-    share = lambda: context.broadcast([(k, [(f.w, f.b) for f in x]) for k, x in fits.items()])
+    known: list = []
+    each = [(k, v) for k in fits for v in (0, 1)]
     for _ in range(rounds - 1):
-        before, rows = rows, stages.put(rows.mapInArrow(_give(share(), sure), "t array<int>, m array<int>, given array<int>"), "given")
-        stages.drop(before)
-        for (k, v), sums in _sums(rows, share(), True).items():
-            held, ones = np.split(sums, 2)
+        known.append([(k, [(f.w, f.b) for f in x]) for k, x in fits.items()])
+        shared = context.broadcast(list(known))
+
+        def labels(b: pa.RecordBatch, shared=shared) -> tuple[list[Rows], np.ndarray]:
+            views = [_lists(b.column(c)) for c in ("t", "m")]
+            return views, _given(views, shared.value, sure, b.num_rows)
+
+        def counts(b: pa.RecordBatch):
+            views, given = labels(b)
+            for i, (k, v) in enumerate(each):
+                y = given[:, 2 * k + v]
+                for half, g in enumerate(((y >= 0).astype(np.float64), (y == 1).astype(np.float64))):
+                    yield 2 * i + half, np.append(views[v].back(g, (WIDTH, META_WIDTH)[v]), g.sum())
+
+        sums = _summed(rows, counts, [(WIDTH, META_WIDTH)[v] + 1 for _, v in each for _ in (0, 1)])
+        for i, (k, v) in enumerate(each):
+            held, ones = sums[2 * i], sums[2 * i + 1]
             fits[k][v].telling(held[:-1], ones[:-1], held[-1], ones[-1])
+        tells = context.broadcast([np.flatnonzero(np.any([x[v].often for x in fits.values()], axis=0)) for v in (0, 1)])
+
+        def chosen(batches: Iterator[pa.RecordBatch], labels=labels, tells=tells) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                views, given = labels(b)
+                take = np.flatnonzero((given >= 0).any(axis=1))
+                columns = []
+                for x, places in zip(views, tells.value):
+                    at = np.searchsorted(places, x.places)
+                    hit = at < len(places)
+                    hit[hit] = places[at[hit]] == x.places[hit]
+                    sizes = np.diff(np.concatenate([[0], np.cumsum(hit)])[x.starts])
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(at[hit].astype(np.int32))))
+                columns.append(pa.FixedSizeListArray.from_arrays(pa.array(given.ravel()), 4).cast(pa.list_(pa.int8())))
+                yield pa.RecordBatch.from_arrays(columns, ["t", "m", "given"]).take(pa.array(take))
+
+        small = stages.put(rows.mapInArrow(lean(chosen), "t array<int>, m array<int>, given array<byte>"), "given")
+        widths = [len(x) for x in tells.value]
         for _ in range(steps):
-            for (k, v), g in _sums(rows, share(), False).items():
-                fits[k][v].step(g[:-1], g[-1])
+            now = context.broadcast([[(x[v].w[tells.value[v]], x[v].b) for v in (0, 1)] for x in fits.values()])
+
+            def gradients(b: pa.RecordBatch, now=now, order=tuple(fits), widths=widths):
+                views = [_lists(b.column(c)) for c in ("t", "m")]
+                given = np.array(b.column("given").flatten()).reshape(b.num_rows, 4)
+                for j, k in enumerate(order):
+                    for v, (w, bias) in enumerate(now.value[j]):
+                        y = given[:, 2 * k + v]
+                        g = np.where(y >= 0, np.rint(GRAIN * (sigmoid(views[v].dot(w) + bias) - y)), 0)
+                        yield 2 * j + v, np.append(views[v].back(g, widths[v]), g.sum())
+
+            sums = _summed(small, gradients, [widths[v] + 1 for _, v in each])
+            for i, (k, v) in enumerate(each):
+                more = np.zeros(fits[k][v].width)
+                more[tells.value[v]] = sums[i][:-1] / GRAIN
+                fits[k][v].step(more, sums[i][-1] / GRAIN)
+        stages.drop(small)
+        stages.tidy()
     stages.drop(rows)
 
 
@@ -256,7 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict[st
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("toxic"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(text))), pa.array(meta, pa.list_(pa.int32()))], ["doc_id", "quality", "toxic", "t", "m"])
 
     features = "doc_id long, quality double, toxic double, t array<int>, m array<int>"
-    rows = sample.mapInArrow(run, features).toArrow().sort_by("doc_id")
+    rows = sample.mapInArrow(lean(run), features).toArrow().sort_by("doc_id")
     views = tuple(Rows.of(rows.column(c).combine_chunks().to_numpy(zero_copy_only=False)) if len(rows) else Rows.of([]) for c in ("t", "m"))
     quality, toxic = (np.array(rows.column(c).to_numpy(), dtype=np.float64) for c in ("quality", "toxic"))
     targets = (1 - quality, toxic)
@@ -265,7 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict[st
         stages = Stages(docs.sparkSession, "cotrain")
         nothing = F.lit(None).cast("double")
         others = _columns(docs).join(chosen.select("doc_id"), "doc_id", "left_anti").withColumns({"quality": nothing, "toxic": nothing})
-        others = others.mapInArrow(run, features).select("t", "m", F.expr("array_repeat(-1, 4)").alias("given"))
+        others = others.mapInArrow(lean(run), features).select("t", "m")
         cotrain({k: fits for k, (fits, _) in started.items()}, stages.put(others, "unlabelled"), stages)
     models: dict[str, Model | None] = {"poor": None, "toxic": None}
     for k, (fits, held) in started.items():
@@ -312,4 +358,4 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, most:
                 kept = (probabilities[0] < most) & (probabilities[1] < most)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, probabilities), *[pa.array(np.asarray(x, dtype=np.float64)) for x in out], pa.array(kept), *[b.column(c) for c in own]], ["doc_id", "p_poor", "p_toxic", "poor_text", "poor_meta", "toxic_text", "toxic_meta", "kept", *own])
 
-    return _columns(docs).mapInArrow(run, "doc_id long, p_poor double, p_toxic double, poor_text double, poor_meta double, toxic_text double, toxic_meta double, kept boolean" + ", text string, lang string, source string, n_chars long" * with_docs)
+    return _columns(docs).mapInArrow(lean(run), "doc_id long, p_poor double, p_toxic double, poor_text double, poor_meta double, toxic_text double, toxic_meta double, kept boolean" + ", text string, lang string, source string, n_chars long" * with_docs)

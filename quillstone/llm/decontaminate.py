@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Stages, gram_hashes, hash_words, keyed, mix, signed, utf8
+from quillstone.llm.common import Stages, gram_hashes, hash_words, keyed, lean, mix, signed, utf8
 
 #: Benchmark windows up to which they go to every worker (about 60 MB there); beyond, both sides are shuffled and joined.
 LOCAL_WINDOWS = 200_000
@@ -134,7 +134,7 @@ def _local(docs, item_words, windows, lengths, window, out, spans, carry):
                 words = [words_of(t) for t in utf8(b.column(1))]
                 yield _rows(b.column(0), [len(x) for x in words], [scan(x, windows, prints) if windows else [] for x in words], spans, b, carry)
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(lean(run), out)
 
 
 def _rows(ids, n_words, found, spans, batch, carry) -> pa.RecordBatch:
@@ -193,9 +193,9 @@ def _shuffled(docs, items, window, out, spans, carry):
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(x), pa.int64()), pa.array([s for s, _ in x], pa.int32()), pa.array([n for _, n in x], pa.int32()), pa.array([b" ".join(words[s : s + n]) for s, n in x], pa.binary())], ["row", "start", "n", "words"])
 
     fingerprints = items.mapInArrow(prints, "fp long").distinct()
-    shared = docs.mapInArrow(doc_prints, "row long, fp long").join(fingerprints, "fp", "left_semi").groupBy("row").agg(F.collect_set("fp").alias("fps"))  # a document's own
+    shared = docs.mapInArrow(lean(doc_prints), "row long, fp long").join(fingerprints, "fp", "left_semi").groupBy("row").agg(F.collect_set("fp").alias("fps"))  # a document's own
     near = docs.join(shared, "row").select("row", "text", "fps")
-    found = near.mapInArrow(doc_windows, "row long, start int, n int, words binary").join(items.mapInArrow(item_windows, "item_id string, words binary").distinct(), "words")
+    found = near.mapInArrow(lean(doc_windows), "row long, start int, n int, words binary").join(items.mapInArrow(item_windows, "item_id string, words binary").distinct(), "words")
     per_doc = found.groupBy("row").agg(F.collect_set(F.struct("item_id", "start", (F.col("start") + F.col("n")).alias("end"))).alias("hits"))
 
     def run(batches):
@@ -203,4 +203,4 @@ def _shuffled(docs, items, window, out, spans, carry):
             hits = [sorted((x["item_id"], x["start"], x["end"]) for x in h or ()) for h in b.column("hits").to_pylist()]
             yield _rows(b.column(0), [len(words_of(t)) for t in utf8(b.column(1))], hits, spans, b, carry)
 
-    return docs.join(per_doc, "row", "left").select("doc_id", "text", *[f"own{i}" for i in range(len(carry))], "hits").mapInArrow(run, out)
+    return docs.join(per_doc, "row", "left").select("doc_id", "text", *[f"own{i}" for i in range(len(carry))], "hits").mapInArrow(lean(run), out)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import GOLDEN, TOP, Stages, docs_of, hash_words, mix, signed, utf8
+from quillstone.llm.common import GOLDEN, TOP, Stages, docs_of, hash_words, lean, mix, signed, utf8
 
 ROUNDS = 3
 #: Words that a symbol may stand for; longer ones would seldom lie inside a window with all that they depend on.
@@ -243,7 +243,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False)
     stages = Stages(spark, "substrings")
     # A text's own key, of 128 bits. What is covered depends on the text alone, so equal texts are looked up once.
     docs = docs_of(docs).withColumns({"ka": F.xxhash64("text"), "kb": F.xxhash64(F.lit(1), "text")})
-    parsed = docs.select("doc_id", "ka", "kb", "text").mapInArrow(_parse(window), "doc_id long, ka long, kb long, n_words long, all_sha256 string, s array<int>, more array<int>, name array<long>, words array<long>")
+    parsed = docs.select("doc_id", "ka", "kb", "text").mapInArrow(lean(_parse(window)), "doc_id long, ka long, kb long, n_words long, all_sha256 string, s array<int>, more array<int>, name array<long>, words array<long>")
     parsed = stages.put(parsed.withColumn("k", F.monotonically_increasing_id()), "parsed")
     rows = parsed.select("k", F.explode(F.arrays_zip("s", "more", "name", "words")).alias("x")).select("k", "x.s", "x.more", "x.name", "x.words")
     often = rows.groupBy("name").agg(F.count("*").alias("n"), F.min("words").alias("least"), F.max("words").alias("most")).where("n > 1")
@@ -262,7 +262,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False)
     texts = docs.select("ka", "kb", "text")
     asked = reps.join(wanted, "k").hint("merge")
     single = texts.join(asked, ["ka", "kb"]).groupBy("ka", "kb").agg(F.first("k").alias("k"), F.first("text").alias("text"), F.first("wanted").alias("wanted"))
-    looked = stages.put(single.select("k", "text", "wanted").mapInArrow(_windows(window), "k long, s int, name long, w long, single boolean"), "windows")
+    looked = stages.put(single.select("k", "text", "wanted").mapInArrow(lean(_windows(window)), "k long, s int, name long, w long, single boolean"), "windows")
     stages.tidy()
     twice = stages.put(looked.groupBy("name", "w").agg(F.count("*").alias("n")).where("n > 1").select("name", "w"), "twice")
     proven = proven.union(looked.where("single").join(twice, ["name", "w"], "left_semi").select("k", "s", (F.col("s") + F.lit(window)).alias("e")))
@@ -271,7 +271,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False)
     stages.drop(shared)
     stages.drop(looked)
     stages.tidy()
-    left = texts.join(covered.hint("merge"), ["ka", "kb"]).select("ka", "kb", "text", "covered").mapInArrow(_remove(with_text), "ka long, kb long, n_removed long, left_sha256 string, left_text string")
+    left = texts.join(covered.hint("merge"), ["ka", "kb"]).select("ka", "kb", "text", "covered").mapInArrow(lean(_remove(with_text)), "ka long, kb long, n_removed long, left_sha256 string, left_text string")
     left = stages.put(left.dropDuplicates(["ka", "kb"]), "left")
     stages.tidy()
     out = parsed.select("doc_id", "ka", "kb", "n_words", "all_sha256").join(left, ["ka", "kb"], "left")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import GOLDEN, Stages, docs_of, gram_hashes, hash_words, mix, signed, utf8
+from quillstone.llm.common import GOLDEN, Stages, docs_of, gram_hashes, hash_words, lean, mix, signed, utf8
 from quillstone.llm.components import components
 
 GROUPS = 24
@@ -86,7 +86,7 @@ def _signatures(docs: DataFrame, size: int, groups: int, width: int) -> DataFram
                     [*KEY, "n_shingles", "set_a", "set_b", "groups"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, ka long, kb long, n_shingles long, set_a long, set_b long, groups array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, ka long, kb long, n_shingles long, set_a long, set_b long, groups array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -102,7 +102,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     # A merge join at every size: the texts are shuffled once however many representatives there are.
     texts = docs.select("ka", "kb", "text").join(wanted.hint("merge"), ["ka", "kb"]).dropDuplicates(["rep"])
-    return texts.select("rep", "text").mapInArrow(run, "rep long, set array<long>")
+    return texts.select("rep", "text").mapInArrow(lean(run), "rep long, set array<long>")
 
 
 def _agree(percent: int):
@@ -130,7 +130,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, perce
     stages.tidy()
     with_b = pairs.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
     both = with_b.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a")
-    found = stages.put(both.select("a", "b", "set_a", "set_b").mapInArrow(_agree(percent), "a long, b long"), "links")
+    found = stages.put(both.select("a", "b", "set_a", "set_b").mapInArrow(lean(_agree(percent)), "a long, b long"), "links")
     stages.drop(sets)
     stages.tidy()
     return found

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Stages, docs_of
+from quillstone.llm.common import Stages, docs_of, lean
 
 #: Pre-tokens whose piece count every worker holds, and the bytes that one of them may have: 30 MB there at most.
 LISTED, LISTED_BYTES = 200_000, 40
@@ -127,8 +127,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, listed: int
     """
     stages = Stages(docs.sparkSession, "token-counts")
     docs = docs_of(docs)
-    seen = docs.select("text").mapInArrow(_distinct(vocabulary), "piece string, f long").groupBy("piece").agg(F.sum("f").alias("f"))
-    counts = stages.put(seen.mapInArrow(_counted(vocabulary), "piece string, f long, n long"), "distinct")
+    seen = docs.select("text").mapInArrow(lean(_distinct(vocabulary)), "piece string, f long").groupBy("piece").agg(F.sum("f").alias("f"))
+    counts = stages.put(seen.mapInArrow(lean(_counted(vocabulary)), "piece string, f long, n long"), "distinct")
     stages.tidy()
     # Frequencies in eighths of a doubling: a few hundred rows, from which the least listed one follows.
     level, short = F.floor(F.log2("f") * 8), F.octet_length("piece") <= LISTED_BYTES
@@ -139,7 +139,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, listed: int
         least, taken = k, taken + n
     often = short & (level >= F.lit(float(least)))
     known = docs.sparkSession.sparkContext.broadcast({r["piece"]: r["n"] for r in counts.where(often).select("piece", "n").toLocalIterator()} if taken else {})
-    rows = docs.mapInArrow(_documents(vocabulary, known), "doc_id long, n_bytes long, listed long, piece array<string>, f array<long>")
+    rows = docs.mapInArrow(lean(_documents(vocabulary, known)), "doc_id long, n_bytes long, listed long, piece array<string>, f array<long>")
     rows = stages.put(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     rest = rows.select("row", F.explode(F.arrays_zip("piece", "f")).alias("x")).select("row", "x.piece", "x.f")
     rest = rest.join(counts.where(~often).select("piece", "n").hint("merge"), "piece").groupBy("row").agg(F.sum(F.col("f") * F.col("n")).alias("rest"))
