@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space of Unicode, and words that give a sentence legal force.
+#: Fixed values, all down to CLAIM_LIMIT: white space of Unicode; words that give a sentence legal force; names; markings; verbs.
 BLANK = "[\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 OPERATIVE = ("shall", "must", "may", "unless", "except", "provided", "if", "when", "requires", "required")
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -23,6 +23,11 @@ def cleanup(s: Column) -> Column:
     return F.translate(F.regexp_replace(s, "\r\n?", "\n"), "\0", "")
 
 
+def trimmed(s: Column) -> Column:
+    """Without Unicode white space at either end."""
+    return F.regexp_replace(s, f"^{BLANK}|{BLANK}$", "")
+
+
 def collapsed(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, BLANK, " "))
 
@@ -66,28 +71,39 @@ def canonical_decimal(s: Column) -> Column:
 
 
 def valid_filename(s: Column) -> Column:
-    return (F.trim(s) != "") & (F.octet_length(s) <= 255) & ~s.rlike("[/\\\\\\x00]") & ~s.isin(".", "..")
+    return (trimmed(s) != "") & (F.octet_length(s) <= 255) & ~s.rlike("[/\\\\\\x00]") & ~s.isin(".", "..")
 
 
 def wire_version(s: Column) -> Column:
     return F.regexp_extract(s, "^([^.]*(\\.[^.]*)?)", 1)
 
 
+#: Marks around a token, and those around the tokens of a telephone number. Neither set is part of any marker.
+AROUND = ",;:!?.\"'“”‘’\\[\\]{}()"
+AROUND_PHONE = ",;:!\"'“”‘’"
+_SPACES = BLANK[1:-2]
+_FIRST, _LAST = f"(?<![^{_SPACES}])[{AROUND}]*", f"[{AROUND}]*(?![^{_SPACES}])"
+
+
 def tokens(s: Column) -> Column:
     """White-space tokens without the marks around them."""
-    return F.transform(words(s), lambda w: F.regexp_replace(F.regexp_replace(w, "^[,;:!?()\\[\\]{}\"'<>]+", ""), "[.,;:!?()\\[\\]{}\"'<>]+$", ""))
+    return F.transform(words(s), lambda w: F.regexp_replace(w, f"^[{AROUND}]+|[{AROUND}]+$", ""))
 
 
 def email_marker(s: Column) -> Column:
-    return F.exists(tokens(s), lambda w: w.rlike("^[^@\\s]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+$"))
+    """One regular expression over the whole text, as for the other markers: no array of tokens is made."""
+    return s.rlike(f"{_FIRST}[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\\.)+[A-Za-z0-9]+{_LAST}")
 
 
 def numeric_date_marker(s: Column) -> Column:
-    return F.exists(tokens(s), lambda w: w.rlike("^([0-9]{1,4})([-/.])[0-9]{1,4}\\2[0-9]{1,4}$"))
+    """Three fields of one to four digits with / or - between."""
+    return s.rlike(f"{_FIRST}[0-9]{{1,4}}(?:/[0-9]{{1,4}}/|-[0-9]{{1,4}}-)[0-9]{{1,4}}{_LAST}")
 
 
 def reference_marker(s: Column) -> Column:
-    return F.exists(tokens(s), lambda w: (F.octet_length(w) >= 5) & (F.octet_length(w) <= 64) & w.rlike("^[A-Za-z]") & w.rlike("[0-9].*[0-9]") & w.rlike("[/-]"))
+    """5 to 64 ASCII letters, digits and _ / ? . - that start with a letter, with two digits and one of / and -."""
+    solid = f"[^{_SPACES}]*"
+    return s.rlike(f"{_FIRST}(?={solid}[0-9]{solid}[0-9])(?={solid}[/-])[A-Za-z][A-Za-z0-9_/?.-]{{4,63}}(?<![.?]){_LAST}")
 
 
 def material_marker(s: Column) -> Column:
@@ -99,30 +115,57 @@ def operative(s: Column) -> Column:
     return key(s).rlike(f"(?<![\\p{{L}}\\p{{N}}])({'|'.join(OPERATIVE)})(?![\\p{{L}}\\p{{N}}])")
 
 
+#: How a clause opens that qualifies the one before it, and what may close a sentence behind its mark.
+QUALIFIERS = ("unless ", "except ", "provided ", "subject to ", "however,", "only if ", "on condition ", "notwithstanding ")
+CLOSERS = "\"'”’)\\]}"
+
+
 def qualification(s: Column) -> Column:
-    return F.lower(F.ltrim(s)).rlike("^(unless|except|provided|subject to|however|only if|on condition|notwithstanding)([^a-z]|$)")
+    """Opens with a qualifier, white space and opening brackets aside."""
+    return F.lower(s).rlike(f"^[{_SPACES}(\\[]*(?:{'|'.join(QUALIFIERS)})")
 
 
 def complete(s: Column, value_suffixes: bool = True) -> Column:
-    """Ends in a terminal mark behind a letter or digit, closing marks aside; after a digit a value's sign may stand between."""
-    tail = "[\\p{L}\\p{N}]" + ("|[\\p{N}][%°$€£]" if value_suffixes else "")
-    return F.rtrim(s).rlike(f"({tail})[.!?。！？]+[\"'”’)\\]]*$")
+    """Ends in one terminal mark behind a letter or digit, closing marks aside; after a digit a value's sign may stand between.
+    White space at the end isn't passed over."""
+    tail = "[\\p{L}\\p{N}]" + ("|\\p{N}\\s*[%‰‱°\\p{Sc}]" if value_suffixes else "")
+    return s.rlike(f"(?:{tail})[{CLOSERS}]*[.!?。！？][{CLOSERS}]*$(?!\n)")
+
+
+def first_line(s: Column) -> Column:
+    """The first line that isn't blank, trimmed."""
+    return trimmed(F.regexp_extract(s, f"^(?:{BLANK})?([^\\n]*)", 1))
+
+
+def _numbered(s: Column) -> tuple[Column, Column, Column]:
+    """A line's leading number, what follows it, and whether a heading's title may follow so."""
+    line = first_line(s)
+    number = F.regexp_extract(line, "^([0-9]+(?:\\.[0-9]+)*)", 1)
+    rest = line.substr(F.length(number) + 1, F.length(line))
+    marked = (rest == "") | rest.rlike("^[.\\t\\f ]") | (rest.startswith(")") & ~number.contains("."))
+    return number, rest, marked & (number != "") & (F.length(line) <= 120)
+
+
+def heading_title(s: Column) -> Column:
+    """What follows a heading's number; empty where nothing does."""
+    return trimmed(F.regexp_replace(_numbered(s)[1], "^[.)]", ""))
+
+
+def conservative_title(title: Column) -> Column:
+    """Starts with a capital, has 12 words at most and no final mark of a sentence."""
+    return title.rlike("^\\p{Lu}") & (F.size(words(title)) <= 12) & ~title.rlike("[.!?;]$")
 
 
 def heading_signal(s: Column) -> Column:
     """Numbering of a heading in the first line that isn't blank, as an array of numbers; null where there is none.
 
-    At most 120 code points and 6 levels of 1 to 999; "1)" at the first level alone; the title starts with a capital, has
-    12 words at most and no full stop at its end.
+    At most 120 code points and 6 levels of 1 to 999; "1)" at the first level alone; a number may stand without a title.
     """
-    line = F.trim(F.regexp_extract(s, "^\\s*([^\\n]*)", 1))
-    number = F.regexp_extract(line, "^([0-9]+(?:\\.[0-9]+)*)[.)]?[ \\t]+\\S", 1)
-    title = F.trim(F.regexp_replace(line, "^[0-9]+(?:\\.[0-9]+)*[.)]?[ \\t]+", ""))
+    number, _, marked = _numbered(s)
     parts = F.transform(F.split(number, "\\."), lambda x: x.try_cast("long"))
-    marked = line.rlike("^[0-9]+[.)]") | line.rlike("^[0-9]+(\\.[0-9]+)+[.]?[ \\t]")
-    fits = (number != "") & (F.length(line) <= 120) & (F.size(parts) <= 6) & F.forall(parts, lambda n: n.between(1, 999)) & marked
-    shaped = title.rlike("^\\p{Lu}") & (F.size(words(title)) <= 12) & ~title.rlike("[.!?;]$")
-    return F.when(fits & shaped, parts)
+    fits = marked & (F.size(parts) <= 6) & F.forall(parts, lambda n: F.coalesce(n.between(1, 999), F.lit(False)))
+    title = heading_title(s)
+    return F.when(fits & ((title == "") | conservative_title(title)), parts)
 
 
 def page_number(s: Column, page: Column) -> Column:
@@ -134,12 +177,12 @@ def page_number(s: Column, page: Column) -> Column:
 
 def numbered_line(s: Column) -> Column:
     """A line that opens with a heading's number, a section sign before it or not."""
-    return F.trim(s).rlike("^§? ?[0-9]+(\\.[0-9]+)*[.)]?\\s+\\S")
+    return trimmed(s).rlike("^§? ?[0-9]+(\\.[0-9]+)*[.)]?\\s+\\S")
 
 
 def running_label(s: Column, page: Column) -> Column:
     """A short unpunctuated line of no legal force: a marking, a label before its page number, or a document's title in capitals."""
-    line = F.trim(s)
+    line = trimmed(s)
     plain = (F.octet_length(line) <= 120) & (F.size(words(line)) <= 12) & ~numbered_line(line) & ~operative(line) & ~line.rlike("[.;!?$€]")
     parts = F.regexp_extract(key(line), "^.* \\| (.*)$", 1)
     title = ~line.rlike("\\p{L}(?<!\\p{Lu})") & key(line).rlike(f"({'|'.join(TITLE_KINDS)})$")
@@ -158,15 +201,13 @@ def date_label(s: Column) -> Column:
 
 def named_date_marker(s: Column) -> Column:
     """Month, day and year in three tokens that follow each other, marks around them aside."""
-    w = tokens(s)
-    ends = lambda x: F.regexp_replace(x, "^\\.+|\\.+$", "")
-    at = lambda i: F.lower(w[i]).isin(*MONTHS) & ends(w[i + 1]).rlike("^[0-9]{1,2}$") & ends(w[i + 2]).rlike("^([0-9]{2}|[0-9]{4})$")
-    return (F.size(w) >= 3) & F.exists(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), at)
+    between = f"[{AROUND}]*[{_SPACES}]+[{AROUND}]*"
+    return s.rlike(f"{_FIRST}(?i:{'|'.join(MONTHS)}){between}[0-9]{{1,2}}{between}(?:[0-9]{{2}}|[0-9]{{4}}){_LAST}")
 
 
 def date_stamp(s: Column) -> Column:
     """A whole page that is a date and a stamp: 03/10/03 A-4."""
-    return (F.length(s) <= 32) & F.trim(s).rlike("^[0-9]{1,2}/[0-9]{1,2}/([0-9]{2}|[0-9]{4})\\s+[A-Za-z]{1,2}-[0-9]{1,3}$")
+    return (F.length(s) <= 32) & trimmed(s).rlike("^[0-9]{1,2}/[0-9]{1,2}/([0-9]{2}|[0-9]{4})\\s+[A-Za-z]{1,2}-[0-9]{1,3}$")
 
 
 def multi_letter_word(s: Column) -> Column:
@@ -177,7 +218,7 @@ def multi_letter_word(s: Column) -> Column:
 def filing_header(s: Column) -> Column:
     """The line above a filed exhibit: EX- and a dotted number, a number, a file name."""
     n = F.size(words(s))
-    return n.between(3, 30) & ~operative(s) & F.trim(s).rlike("^EX-[0-9]+(\\.[0-9]+)*\\s+[0-9]+\\s+[A-Za-z0-9._-]*\\.(?i:html?|txt)(\\s|$)")
+    return n.between(3, 30) & ~operative(s) & trimmed(s).rlike("^EX-[0-9]+(\\.[0-9]+)*\\s+[0-9]+\\s+[A-Za-z0-9._-]*\\.(?i:html?|txt)(\\s|$)")
 
 
 #: A decimal number, and the units of one letter that make it a value.
@@ -197,7 +238,7 @@ def numeric_content(s: Column) -> Column:
 
 def page_class(s: Column) -> Column:
     """date_page_stamp; scan_noise, a page of which four fifths are punctuation, symbols or controls; null for pages that are kept."""
-    line = F.trim(s)
+    line = trimmed(s)
     solid = F.regexp_replace(line, "\\s", "")
     noise = F.length(F.regexp_replace(solid, "[^\\p{P}\\p{S}\\p{Cc}]", ""))
     kept = multi_letter_word(line) | numeric_content(line) | solid.rlike("[\\p{Cn}\\p{Co}\\p{Cf}]")
@@ -206,30 +247,29 @@ def page_class(s: Column) -> Column:
 
 def phone_marker(s: Column, question: bool = True) -> Column:
     """One to three tokens of digits and + - ( ) . together, with 7 to 15 digits and one of + - ( ). question: ? around a token goes too."""
-    around = "[,;:!\"'“”‘’" + ("?" if question else "") + "]+"
-    w = F.transform(words(s), lambda x: F.regexp_replace(x, f"^{around}|{around}$", ""))
+    around = f"[{AROUND_PHONE}{'?' if question else ''}]*"
+    token = f"{around}[0-9+().-]+{around}"
+    # Stretches of such tokens are rare and short; only they are taken apart.
+    found = F.regexp_extract_all(s, F.lit(f"(?<![^{_SPACES}])({token}(?:[{_SPACES}]+{token})*)(?![^{_SPACES}])"), F.lit(1))
 
-    def spans(i: Column) -> Column:
-        found = F.lit(False)
-        for k in (1, 2, 3):
-            part = F.slice(w, i, k)
-            joined = F.array_join(part, "")
-            found = found | ((F.size(part) == k) & F.forall(part, lambda x: x.rlike("^[0-9+().-]+$")) & F.length(F.regexp_replace(joined, "[^0-9]", "")).between(7, 15) & joined.rlike("[+()-]"))
-        return found
+    def dials(stretch: Column) -> Column:
+        w = F.transform(words(stretch), lambda x: F.regexp_replace(x, "[^0-9+().-]", ""))
+        groups = F.flatten(F.transform(w, lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size(w) - i)), lambda k: F.array_join(F.slice(w, i + 1, k), ""))))
+        return F.exists(groups, lambda x: F.length(F.regexp_replace(x, "[^0-9]", "")).between(7, 15) & x.rlike("[+()-]"))
 
-    return (F.size(w) > 0) & F.exists(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), spans)
+    return F.exists(found, dials)
 
 
 def label_value(s: Column) -> Column:
     """The value of a "label: value" line; null where the label isn't 1 to 8 words, or opens with a number."""
-    label, value = F.regexp_extract(F.trim(s), "^([^:]*):", 1), F.regexp_extract(F.trim(s), "(?s)^[^:]*:(.*)$", 1)
+    label, value = F.regexp_extract(trimmed(s), "^([^:]*):", 1), F.regexp_extract(trimmed(s), "(?s)^[^:]*:(.*)$", 1)
     fits = F.size(words(label)).between(1, 8) & label.rlike("^[^\\p{L}\\p{N}]*\\p{L}") & label.rlike("^[\\p{L}\\p{N}\\s/()'’&#-]+$")
-    return F.when(fits & (F.trim(value) != ""), value)
+    return F.when(fits & (trimmed(value) != ""), value)
 
 
 def clause_title(s: Column) -> Column:
     """Words in title case or capitals, connectors aside; a final full stop or colon doesn't count."""
-    line = F.regexp_replace(F.trim(s), "[.:]$", "")
+    line = F.regexp_replace(trimmed(s), "[.:]$", "")
     parts = F.filter(F.split(line, "[^\\p{L}]+"), lambda w: w != "")
     each = F.forall(parts, lambda w: w.isin(*CONNECTORS) | w.rlike("^(\\p{Lu}+|\\p{Lu}\\p{Ll}*)$"))
     return line.rlike("^[\\p{L}\\s&/'-]+$") & F.exists(parts, lambda w: w.rlike("^\\p{Lu}")) & each
@@ -244,17 +284,45 @@ def negation(s: Column) -> Column:
 
 def clipped(s: Column, ceiling: int) -> Column:
     """Ends at the ceiling exactly, before its sentence does."""
-    return (F.length(s) == ceiling) & ~s.rlike("^\\s") & (F.trim(s) != "") & ~complete(s)
+    return (F.length(s) == ceiling) & ~s.rlike("^\\s") & (trimmed(s) != "") & ~complete(s)
 
 
 def paraphrase_violations(s: Column) -> Column:
     """What a paraphrase breaks, in this order: not trimmed or empty, too long, no complete sentence."""
-    rules = (("nonempty_already_trimmed_text", (s == "") | s.rlike("^\\s|\\s$")), ("maximum_claim_characters", F.length(s) > CLAIM_LIMIT), ("complete_sentence_terminal_punctuation_no_cutoff", ~complete(s)))
+    rules = (("nonempty_already_trimmed_text", (s == "") | (trimmed(s) != s)), ("maximum_claim_characters", F.length(s) > CLAIM_LIMIT), ("complete_sentence_terminal_punctuation_no_cutoff", ~complete(s)))
     return F.filter(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules]), lambda x: x.isNotNull())
 
 
+NUL = "\0"
+
+
+def number32(n: Column) -> Column:
+    """Four bytes, the highest first."""
+    return F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0"))
+
+
+def tagged_hash(prefix: str, *parts: Column | str) -> Column:
+    """prefix and the SHA-256 of the parts' bytes one after the other."""
+    as_bytes = lambda p: F.encode(F.lit(p), "UTF-8") if isinstance(p, str) else p
+    return F.concat(F.lit(prefix), F.sha2(F.concat(*map(as_bytes, parts)), 256))
+
+
 def block_id(document_id: Column, version: str, page: Column, index: Column) -> Column:
     """SHA-256 over a tag, NUL separators and big-endian 32-bit numbers."""
-    number = lambda n: F.unhex(F.lpad(F.hex(n), 8, "0"))
-    nul = F.unhex(F.lit("00"))
-    return F.sha2(F.concat(F.encode(F.lit("normalized-block"), "UTF-8"), nul, F.encode(document_id, "UTF-8"), nul, F.encode(F.lit(version), "UTF-8"), nul, number(page), number(index)), 256)
+    return tagged_hash("nb-", "normalized-block\0", F.encode(document_id, "UTF-8"), f"\0{version}\0", number32(page), number32(index))
+
+
+def node_id(document_id: Column, version: str, kind: Column, level: Column, path: Column, title: Column, block_ids: Column) -> Column:
+    """The same over a node's kind, level, path, title and blocks."""
+    steps = F.unhex(F.array_join(F.transform(path, lambda n: F.lpad(F.hex(n.cast("long")), 8, "0")), ""))
+    return tagged_hash("sn-", "structure-node\0", F.encode(document_id, "UTF-8"), f"\0{version}\0", F.encode(kind, "UTF-8"), number32(level), steps, NUL, F.encode(F.concat(F.coalesce(title, F.lit("")), joined_after(block_ids)), "UTF-8"))
+
+
+def chunk_id(document_id: Column, version: str, ordinal: Column, node: Column, block_ids: Column, text: Column) -> Column:
+    """The same over a chunk's place, node, blocks and text."""
+    return tagged_hash("ch-", "document-chunk\0", F.encode(document_id, "UTF-8"), f"\0{version}\0", number32(ordinal), F.encode(F.concat(node, joined_after(block_ids), F.lit(NUL), text), "UTF-8"))
+
+
+def joined_after(values: Column) -> Column:
+    """A NUL before each of the strings."""
+    return F.array_join(F.transform(values, lambda v: F.concat(F.lit(NUL), v)), "")

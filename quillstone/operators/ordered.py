@@ -2,24 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pack(blocks: DataFrame, key: str, order: list[str], length: str, limit: int, separator: int = 2) -> DataFrame:
+def _greedy(limit: int, separator: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, offsets = batch.column(batch.num_columns - 1), []
+            out = []
+            for row in lengths.to_pylist():
+                chunk, used = 0, None
+                for n in row:
+                    if used is None:
+                        used = n
+                    elif used + separator + n > limit:
+                        chunk, used = chunk + 1, n
+                    else:
+                        used += separator + n
+                    out.append(chunk)
+                offsets.append(len(out))
+            chunks = pa.ListArray.from_arrays(pa.array([0, *offsets], pa.int32()), pa.array(out, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], chunks], [*batch.schema.names[:-1], "chunks"])
+
+    return run
+
+
+def pack(blocks: DataFrame, key: str | list[str], order: list[str], length: str, limit: int, separator: int = 2) -> DataFrame:
     """Greedy packing: blocks stay whole and in order; one that would pass the limit starts a new group. Adds `chunk`, from 0.
 
-    One shuffle by key; a key's blocks form one row while they are folded, with their lengths alone.
+    One shuffle by key; a key's blocks form one row while they are folded, with their lengths alone, in time linear in them.
     """
-    step = lambda a, x: F.when(a["n"].isNull(), F.struct(x[length].alias("n"), F.lit(0).alias("c"), F.array(F.lit(0)).alias("out"))).otherwise(
-        F.when(a["n"] + separator + x[length] > limit, F.struct(x[length].alias("n"), (a["c"] + 1).alias("c"), F.concat(a["out"], F.array(a["c"] + 1)).alias("out"))).otherwise(
-            F.struct((a["n"] + separator + x[length]).alias("n"), a["c"].alias("c"), F.concat(a["out"], F.array(a["c"])).alias("out"))
-        )
-    )
-    start = F.struct(F.lit(None).cast("long").alias("n"), F.lit(0).alias("c"), F.array().cast("array<int>").alias("out"))
-    rows = blocks.select(key, *order, F.col(length).cast("long").alias(length))
-    folded = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, length))).alias("x")).withColumn("c", F.aggregate("x", start, step, lambda a: a["out"]))
-    return folded.select(key, F.explode(F.arrays_zip("x", "c")).alias("z")).select(key, "z.x.*", F.col("z.c").cast("long").alias("chunk"))
+    keys = [key] if isinstance(key, str) else key
+    rows = blocks.select(*keys, F.struct(*order).alias("place"), F.col(length).cast("long").alias("n"))
+    grouped = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "n"))).alias("x")).select(*keys, F.col("x.place").alias("places"), F.col("x.n").alias("ns"))
+    kinds = dict(grouped.dtypes)
+    folded = grouped.mapInArrow(_greedy(limit, separator), ", ".join(f"{c} {kinds[c]}" for c in [*keys, "places"]) + ", chunks array<long>")
+    out = folded.select(*keys, F.explode(F.arrays_zip("places", "chunks")).alias("z"))
+    return out.select(*keys, "z.places.*", F.col("z.chunks").alias("chunk"))
+
+
+def number(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Numbers rows from 1 within keys."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
 def repeated_lines(lines: DataFrame, document: str, page: str, line_key: str) -> DataFrame:

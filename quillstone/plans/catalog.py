@@ -2,26 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.operators import lineage, ordered
-
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    def keep(f):
-        _QUERIES[f.__name__], _SQL[f.__name__] = f, sql
-        return f
-
-    return keep
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from quillstone.plans.registry import QUERIES, SQL, query
+from quillstone.plans.registry import table as _table
 
 
 @query(r"SELECT doc_id, sha256(replace(regexp_replace(replace(text, ' ', chr(13) || ' '), '\r\n?', chr(10), 'g'), chr(0), '')) AS cleaned, true AS changed FROM documents WHERE text LIKE '% %' UNION ALL SELECT doc_id, sha256(text), false FROM documents WHERE text NOT LIKE '% %'")
@@ -46,7 +32,7 @@ def word_counts(spark, d):
     return _table(spark, d, "documents").select("doc_id", F.size(T.words(F.col("text"))).cast("long").alias("n_words"))
 
 
-@query(r"SELECT conv_id, turn, sha256(encode('normalized-block') || '\x00'::blob || encode(CAST(conv_id AS VARCHAR)) || '\x00'::blob || encode('v1') || '\x00'::blob || unhex(lpad(hex(turn + 1), 8, '0')) || unhex('00000000')) AS block_id FROM conversations WHERE trim(text) <> ''")
+@query(r"SELECT conv_id, turn, 'nb-' || sha256(encode('normalized-block') || '\x00'::blob || encode(CAST(conv_id AS VARCHAR)) || '\x00'::blob || encode('v1') || '\x00'::blob || unhex(lpad(hex(turn + 1), 8, '0')) || unhex('00000000')) AS block_id FROM conversations WHERE trim(text) <> ''")
 def block_ids(spark, d):
     rows = _table(spark, d, "conversations").where(F.trim("text") != "")
     return rows.select("conv_id", "turn", T.block_id(F.col("conv_id").cast("string"), "v1", F.col("turn") + 1, F.lit(0)).alias("block_id"))
@@ -161,20 +147,13 @@ def event_history(spark, d):
 
 @query(f"SELECT user_id, max(sequence_no) AS sequence_no, arg_max(event_type, sequence_no) AS event_type FROM ({_LOG}) GROUP BY 1")
 def latest_run_state(spark, d):
-    return lineage.latest(_log(spark, d), "user_id", "event_type").select("user_id", F.col("sequence_no").cast("long").alias("sequence_no"), "event_type")
+    return lineage.latest(_table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
 
 
-@query("SELECT user_id, count(*) AS next_sequence FROM events GROUP BY 1")
+@query("SELECT c_custkey AS user_id, coalesce(n, 0) AS next_sequence FROM customer LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) ON user_id = c_custkey")
 def next_sequence(spark, d):
-    return _log(spark, d).groupBy("user_id").agg((F.coalesce(F.max("sequence_no"), F.lit(-1)) + 1).cast("long").alias("next_sequence"))
-
-
-_EDGES = [("signup", "view"), ("view", "click"), ("click", "purchase"), ("view", "view"), ("view", "error"), ("click", "view")]
-
-
-@query(f"SELECT event_id, before, after FROM (SELECT event_id, event_type AS after, lag(event_type) OVER (PARTITION BY user_id ORDER BY sequence_no) AS before FROM ({_LOG})) WHERE before IS NOT NULL AND (before, after) NOT IN ({', '.join(map(str, _EDGES))})")
-def invalid_transitions(spark, d):
-    return lineage.invalid_transitions(_log(spark, d), "user_id", "event_type", spark.createDataFrame(_EDGES, "before string, after string")).select("event_id", "before", "after")
+    events = _table(spark, d, "events").groupBy("user_id").agg((F.count("*") - 1).alias("sequence_no"))
+    return lineage.next_sequence(events, _table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")), "user_id")
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 30")
@@ -192,12 +171,6 @@ def runs_with_child(spark, d):
     return _table(spark, d, "customer").select("c_custkey").join(_table(spark, d, "orders").where("o_orderstatus = 'F'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
 
 
-@query("SELECT a.o_orderkey AS retry_run, b.o_orderkey AS source_run FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey - 1 AND a.o_custkey % 10 = b.o_custkey % 10")
-def retry_lineage(spark, d):
-    o = _table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 10).alias("doc"))
-    return o.alias("a").join(o.alias("b"), (F.col("b.o_orderkey") == F.col("a.o_orderkey") - 1) & (F.col("a.doc") == F.col("b.doc"))).select(F.col("a.o_orderkey").alias("retry_run"), F.col("b.o_orderkey").alias("source_run"))
-
-
 @query("""SELECT l_orderkey, total, cited, omitted, cited * 2 >= total AS raw_ok, total > omitted AND cited * 5 >= (total - omitted) * 3 AS adjusted_ok, least(total, (3 * total + 4) // 5 + 16, 512) AS retained
  FROM (SELECT l_orderkey, count(DISTINCT l_linenumber) AS total, count(DISTINCT CASE WHEN l_returnflag = 'N' THEN l_linenumber END) AS cited, count(DISTINCT CASE WHEN l_linestatus = 'F' AND l_returnflag <> 'N' THEN l_linenumber END) AS omitted FROM lineitem GROUP BY 1)""")
 def page_coverage(spark, d):
@@ -224,11 +197,6 @@ def request_budget(spark, d):
     return _table(spark, d, "part").selectExpr("p_partkey", "least(16000, 3 * (p_size * 200 - 256 - 512)) as ranker_limit", "p_size * 20 <= 700 as fits", "64 + (23 * p_size * 8 + 99) div 100 + 256 as response_tokens")
 
 
-@query("SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1")
-def profile_conflicts(spark, d):
-    return _table(spark, d, "orders").groupBy("o_custkey").agg(F.countDistinct("o_orderpriority").alias("n")).where("n > 1").select("o_custkey")
-
-
 @query("SELECT conv_id, string_agg(role || ':' || turn, ';' ORDER BY turn) AS warnings FROM conversations GROUP BY 1")
 def warning_rollup(spark, d):
     rows = _table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("x"))
@@ -355,8 +323,12 @@ def phone_markers(spark, d):
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
+
+
+from quillstone.plans import structure  # noqa: E402, F401  (each module registers its queries)
+from quillstone.plans import runs  # noqa: E402, F401
