@@ -64,7 +64,7 @@ def words(s: Column) -> Column:
 
 def canonical_decimal(s: Column) -> Column:
     """007.50 becomes 7.5 and -0 becomes 0; null for what is no decimal."""
-    plain = F.regexp_replace(F.regexp_replace(s, ",", ""), "^\\+", "")
+    plain = F.regexp_replace(s, "^\\+", "")
     whole = F.regexp_replace(plain, "^(-?)0+(?=[0-9])", "$1")
     short = F.when(whole.contains("."), F.regexp_replace(F.regexp_replace(whole, "0+$", ""), "\\.$", "")).otherwise(whole)
     return F.when(plain.rlike("^-?[0-9]+(\\.[0-9]+)?$"), F.when(short == "-0", F.lit("0")).otherwise(short))
@@ -74,6 +74,15 @@ def valid_filename(s: Column) -> Column:
     return (trimmed(s) != "") & (F.octet_length(s) <= 255) & ~s.rlike("[/\\\\\\x00]") & ~s.isin(".", "..")
 
 
+def uuid4(s: Column) -> Column:
+    return s.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+
+
+def digest(s: Column) -> Column:
+    """A SHA-256 in lower-case hexadecimal."""
+    return s.rlike("^[0-9a-f]{64}$")
+
+
 def wire_version(s: Column) -> Column:
     return F.regexp_extract(s, "^([^.]*(\\.[^.]*)?)", 1)
 
@@ -176,8 +185,8 @@ def page_number(s: Column, page: Column) -> Column:
 
 
 def numbered_line(s: Column) -> Column:
-    """A line that opens with a heading's number, a section sign before it or not."""
-    return trimmed(s).rlike("^§? ?[0-9]+(\\.[0-9]+)*[.)]?\\s+\\S")
+    """A line that opens with a heading's number, section signs before it or not, and goes on with a capital."""
+    return trimmed(s).rlike("^§*\\s*[0-9]+(\\.[0-9]+)*[.)]*\\s+\\p{Lu}")
 
 
 def running_label(s: Column, page: Column) -> Column:
@@ -194,9 +203,36 @@ def filing_label(s: Column) -> Column:
     return key(s).rlike("^exhibit (?=[^ ]*[0-9])[a-z0-9]+(\\.[a-z0-9]+)*$")
 
 
+#: An optional weekday, a month, a day from 1 to 31 and a year of four digits, in a key.
+DATE = f"(?:(?:{'|'.join(WEEKDAYS)}),* )?(?:{'|'.join(MONTHS)}) \\+?0*(?:[1-9]|[12][0-9]|3[01]),* [0-9]{{4}}"
+
+
 def date_label(s: Column) -> Column:
-    """An optional weekday, a month, a day from 1 to 31 and a year of four digits."""
-    return key(s).rlike(f"^(?:({'|'.join(WEEKDAYS)}),* )?({'|'.join(MONTHS)}) \\+?0*([1-9]|[12][0-9]|3[01]),* [0-9]{{4}}$")
+    return key(s).rlike(f"^{DATE}$")
+
+
+def metadata_key(s: Column) -> Column:
+    """What a line of running metadata has in common with that of other pages, and whether it marks a footer for certain:
+    struct(key, strong), null for any other line. A page's own numbers become #; filing numbers, dates and numbers in text stay."""
+    k = key(s)
+    page = "^((?:(?!page )[^ ]+ )*)page \\+?([0-9]+)((?: (?:of|/) [0-9]+)?)((?: DATE)?)$".replace("DATE", DATE)
+    before, n, of, date = (F.regexp_extract(k, page, i) for i in (1, 2, 3, 4))
+    total = F.regexp_extract(of, "([0-9]+)$", 1).try_cast("long")
+    counted = k.rlike(page) & (n.try_cast("long") > 0) & F.coalesce(total >= n.try_cast("long"), of == "")
+    title = f"(?:{'|'.join(TITLE_KINDS)})$"
+    prefix = F.regexp_extract(k, "^(.*) \\+?0*[1-9][0-9]*$", 1)
+    found = lambda key_, strong: F.struct(key_.alias("key"), (strong if isinstance(strong, Column) else F.lit(strong)).alias("strong"))
+    return (
+        F.when((k == "") | (F.octet_length(trimmed(s)) > 180) | (F.size(words(s)) > 20), None)
+        .when(filing_label(s), found(k, False))
+        .when(k.rlike(f"^\\+?0*[1-9][0-9]* {DATE}$"), found(F.concat(F.lit("# "), F.regexp_replace(k, "^[^ ]+ ", "")), True))
+        .when(k.rlike(f"^{DATE}$"), found(k, True))
+        .when(operative(s) | numbered_line(s) | s.rlike("[;!?$€]"), None)
+        .when(k.rlike("(^| )page( |$)"), F.when(counted, found(F.concat(before, F.lit("page #"), of, date), (before != "") | (date != ""))))
+        .when(s.contains("."), None)
+        .when(k.isin(*LABELS) | k.rlike(title), found(k, False))
+        .when((prefix != "") & F.regexp_replace(prefix, "[ |]+$", "").rlike(title), found(F.concat(prefix, F.lit(" #")), True))
+    )
 
 
 def named_date_marker(s: Column) -> Column:
@@ -326,3 +362,113 @@ def chunk_id(document_id: Column, version: str, ordinal: Column, node: Column, b
 def joined_after(values: Column) -> Column:
     """A NUL before each of the strings."""
     return F.array_join(F.transform(values, lambda v: F.concat(F.lit(NUL), v)), "")
+
+
+#: Words that say or demand something, and small words of a title.
+PROHIBITED = (
+    "must", "shall", "may", "should", "not", "no", "except", "unless", "only", "required", "prohibited", "mandatory", "is", "are", "was", "were", "be", "has", "have", "will",
+    "can", "cannot", "pay", "file", "submit", "retain", "keep", "wear", "apply", "applies", "do", "does", "never", "always", "due", "exempt", "excludes", "includes",
+)
+SMALL = ("of", "in", "and", "the", "for", "to", "on", "a", "an")
+
+
+def heading_admitted(s: Column) -> Column:
+    """Short text shaped like a title: 2 to 12 words in title case, letters alone, none of which says or demands anything."""
+    line, w = trimmed(s), words(s)
+    each = F.forall(w, lambda x: ~F.lower(x).isin(*PROHIBITED) & (x.rlike("^\\p{Lu}") | F.lower(x).isin(*SMALL)))
+    return (F.length(line) <= 120) & F.size(w).between(2, 12) & ~line.rlike(f"[^\\p{{IsAlphabetic}}{_SPACES}]") & each
+
+
+def whole_page(quote: Column, page: Column) -> Column:
+    """The quote is the whole page, white space aside."""
+    return (trimmed(page) != "") & (words(quote) == words(page))
+
+
+def omission_admitted(quote: Column, page: Column) -> Column:
+    """A page may be left out whole if nothing in it looks like an identifier."""
+    return whole_page(quote, page) & ~material_marker(quote)
+
+
+def profile_of(purpose: Column) -> Column:
+    """The profile of summaries that a document's purpose asks for."""
+    return F.when(purpose.isin("narrative", "story"), "story").when(purpose.isin("contract", "agreement"), "contract").when(purpose.isNotNull(), "general")
+
+
+def requested_profile(parameters: Column) -> Column:
+    """The profile that a job's parameters name: general where they name none, null for any other value."""
+    mode = F.get_json_object(parameters, "$.mode")
+    return F.when(mode.isNull(), "general").when(mode.isin("general", "story", "contract"), mode)
+
+
+def total_usage(body: Column) -> Column:
+    """Input and output tokens of a provider's answer together, where it has both."""
+    return F.get_json_object(body, "$.prompt_eval_count").try_cast("long") + F.get_json_object(body, "$.eval_count").try_cast("long")
+
+
+def fingerprint(value: Column) -> Column:
+    """SHA-256 over a value as JSON."""
+    return F.sha2(F.to_json(value), 256)
+
+
+#: Names of units.
+UNIT_NAMES = {
+    "dollar": "dollar dollars usd", "euro": "euro euros eur", "percent": "percent percentage percentages", "application": "application applications", "report": "report reports", "degree": "degree degrees", "unit": "unit units",
+    "year": "year years", "day": "day days", "case": "case cases", "worker": "worker workers", "kilogram": "kilogram kilograms kg kgs", "pound": "pound pounds lb lbs", "foot": "foot feet ft", "meter": "meter meters metre metres m",
+    "yen": "yen jpy", "rupee": "rupee rupees inr",
+}
+CURRENCIES = {"$": "dollar", "€": "euro", "£": "pound sterling", "¥": "yen", "₹": "rupee"}
+
+
+def unit_word(s: Column) -> Column:
+    """One name for each unit; other words lose a final s."""
+    out = F.regexp_replace(s, "s$", "")
+    for name, spelled in UNIT_NAMES.items():
+        out = F.when(s.isin(*spelled.split()), F.lit(name)).otherwise(out)
+    return out
+
+
+def currency(s: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for sign, name in CURRENCIES.items():
+        out = F.when(s == sign, F.lit(name)).otherwise(out)
+    return out
+
+
+def acronym(s: Column) -> Column:
+    """2 to 10 ASCII capitals, without a plural s."""
+    return F.nullif(F.regexp_extract(s, "^([A-Z]{2,10})s?$", 1), F.lit(""))
+
+
+def decimal_order(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 for canonical decimals of any length; null for anything else."""
+    shape = "^(-?)([0-9]+)(?:\\.([0-9]+))?$"
+    part = lambda s, i: F.regexp_extract(s, shape, i)
+    size = lambda s: F.struct(F.length(part(s, 2)).alias("n"), part(s, 2).alias("whole"), part(s, 3).alias("rest"))
+    order = lambda x, y: F.when(x < y, -1).when(x > y, 1).otherwise(0)
+    # A canonical fraction has no zero at its end, so a longer one that starts alike is the greater, as strings are compared.
+    plain = order(size(a), size(b))
+    minus = lambda s: part(s, 1) == "-"
+    return F.when(a.rlike(shape) & b.rlike(shape), F.when(minus(a) & ~minus(b), -1).when(~minus(a) & minus(b), 1).when(minus(a), -plain).otherwise(plain))
+
+
+def roman_ordinal(s: Column) -> Column:
+    """The number that a canonical Roman or decimal ordinal of 1 to 3999 stands for; null for any other spelling."""
+    digits = (("M", 3, 1000), ("C", 2, 100), ("X", 1, 10), ("I", 0, 1))
+    shape = "^(M{0,3})(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
+    five = {"C": ("D", "M"), "X": ("L", "C"), "I": ("V", "X")}
+    total = F.lit(0)
+    for i, (one, _, unit) in enumerate(digits, 1):
+        part = F.regexp_extract(s, shape, i)
+        if one == "M":
+            total = total + unit * F.length(part)
+            continue
+        half, ten = five[one]
+        total = total + unit * F.when(part == one + ten, 9).when(part == one + half, 4).otherwise(F.length(part) + F.when(part.startswith(half), 4).otherwise(0))
+    plain = F.when(s.rlike("^[1-9][0-9]{0,3}$"), s.try_cast("int"))
+    return F.when((s != "") & s.rlike(shape), total).when(plain <= 3999, plain)
+
+
+def contains_sequence(haystack: Column, needle: Column) -> Column:
+    """needle, not empty, stands in haystack without a gap."""
+    n = F.size(needle)
+    return (n > 0) & (F.size(haystack) >= n) & F.exists(F.sequence(F.lit(1), F.greatest(F.size(haystack) - n + 1, F.lit(1))), lambda i: F.slice(haystack, i, n) == needle)
