@@ -78,6 +78,11 @@ class Rows:
     def take(self, at: np.ndarray) -> "Rows":
         return Rows.of([self.places[self.starts[i] : self.starts[i + 1]] for i in at])
 
+    def within(self, chosen: np.ndarray) -> "Rows":
+        """The rows with the chosen features alone, numbered among these."""
+        hit = chosen[self.places]
+        return Rows((np.cumsum(chosen) - 1)[self.places[hit]], np.concatenate([[0], np.cumsum(hit)])[self.starts])
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0.0], np.cumsum(w[self.places])])
         return sums[self.starts[1:]] - sums[self.starts[:-1]]
@@ -110,13 +115,15 @@ class Fit:
         error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / max(1.0, n - n1)))
         self.often = (held >= self.least) & (np.abs(ones / n1 - (held - ones) / max(1.0, n - n1)) >= self.tells * error)
         self.w = np.where(self.often, self.w, 0)
+        self.at, self.near = np.flatnonzero(self.often), self.rows.within(self.often)
 
     def step(self, more: np.ndarray | float = 0.0, more_b: float = 0.0) -> None:
-        """One step by the rows here and the gradient of others."""
-        g = sigmoid(self.rows.dot(self.w) + self.b) - self.y
-        step = np.where(self.often, self.rows.back(g, self.width) + more + self.penalty * self.w, 0)
-        self.seen += step * step
-        self.w -= 0.3 * step / np.sqrt(self.seen)
+        """One step by the rows here and the gradient of others, over the features chosen."""
+        at = self.at
+        g = sigmoid(self.near.dot(self.w[at]) + self.b) - self.y
+        step = self.near.back(g, len(at)) + (more[at] if isinstance(more, np.ndarray) else more) + self.penalty * self.w[at]
+        self.seen[at] += step * step
+        self.w[at] -= 0.3 * step / np.sqrt(self.seen[at])
         s = g.sum() + more_b
         self.seen_b += s * s
         self.b -= 0.3 * s / math.sqrt(self.seen_b)
@@ -177,8 +184,8 @@ def _given(views: list[Rows], rounds: list, sure: float, n: int) -> np.ndarray:
     return given
 
 
-#: Sums come in parts of so many features, each as one row.
-PART = 1 << 12
+#: Sums come in parts of so many features, each as one row; so many tasks add up what the others hand on.
+PART, ADDERS = 1 << 12, 6
 
 
 def _summed(rows: DataFrame, run, lengths: list[int]) -> list[np.ndarray]:
@@ -207,8 +214,8 @@ def _summed(rows: DataFrame, run, lengths: list[int]) -> list[np.ndarray]:
 
     schema = "part int, sums binary"
     total = np.zeros(starts[-1] + PART)
-    for r in rows.mapInArrow(lean(each), schema).repartition("part").mapInArrow(merged, schema).toLocalIterator():
-        total[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(bytes(r["sums"]))
+    for r in rows.mapInArrow(lean(each), schema).repartition(ADDERS).mapInArrow(merged, schema).collect():  # ADDERS times the sums at most
+        total[r["part"] * PART : (r["part"] + 1) * PART] += np.frombuffer(bytes(r["sums"]))
     return [total[lo:hi] for lo, hi in zip(starts[:-1], starts[1:])]
 
 
@@ -248,12 +255,9 @@ def cotrain(fits: dict[int, list[Fit]], rows: DataFrame, stages: Stages, rounds:
                 views, given = labels(b)
                 take = np.flatnonzero((given >= 0).any(axis=1))
                 columns = []
-                for x, places in zip(views, tells.value):
-                    at = np.searchsorted(places, x.places)
-                    hit = at < len(places)
-                    hit[hit] = places[at[hit]] == x.places[hit]
-                    sizes = np.diff(np.concatenate([[0], np.cumsum(hit)])[x.starts])
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(at[hit].astype(np.int32))))
+                for x, places, width in zip(views, tells.value, (WIDTH, META_WIDTH)):
+                    near = x.within(np.bincount(places, minlength=width).astype(bool))
+                    columns.append(pa.ListArray.from_arrays(pa.array(near.starts.astype(np.int32)), pa.array(near.places.astype(np.int32))))
                 columns.append(pa.FixedSizeListArray.from_arrays(pa.array(given.ravel()), 4).cast(pa.list_(pa.int8())))
                 yield pa.RecordBatch.from_arrays(columns, ["t", "m", "given"]).take(pa.array(take))
 
