@@ -86,8 +86,9 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
             rows, columns, diagonal = _f(big), big.sum(axis=1), np.diag(big)
             gain = (_f(big + right) - rows).sum(axis=1) + (_f(big.T + left) - rows.T).sum(axis=1)
             gain += _f(diagonal + right + left + own) - _f(diagonal + right) - _f(diagonal + left) + _f(diagonal)
-            ins = big.sum(axis=0)
-            gain -= _f(columns + right.sum() + own) - _f(columns) + _f(ins + left.sum() + own) - _f(ins)
+            # What precedes the word counts among its own class's pairs again, wherever the word goes; so does what follows.
+            outs, ins = columns + left, big.sum(axis=0) + right
+            gain -= _f(outs + right.sum() + own) - _f(outs) + _f(ins + left.sum() + own) - _f(ins)
             gain[classes:] = -np.inf
             best = int(np.argmax(gain))
             if gain[best] <= gain[a] + 1e-9:
@@ -110,15 +111,20 @@ class Exchange:
     def __init__(self, big: np.ndarray):
         self.classes = c = len(big) - 1
         self.to = np.concatenate([big[:, :c], big.T[:, :c]])
-        self.ins, self.outs = big.sum(axis=0)[:c], big.sum(axis=1)[:c]
+        self.ins, self.outs, self.own = big.sum(axis=0)[:c], big.sum(axis=1)[:c], np.diag(big)[:c]
 
     def __call__(self, codes: np.ndarray, n: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The best class of each word; starts: where its codes begin. Each word has a code at least."""
         have, more = self.to[codes], n[:, None].astype(np.float64)
         gain = np.add.reduceat(_f(have + more) - _f(have), starts, axis=0)
-        left = np.add.reduceat(np.where(codes <= self.classes, n, 0), starts)[:, None].astype(np.float64)
-        right = np.add.reduceat(np.where(codes > self.classes, n, 0), starts)[:, None].astype(np.float64)
-        gain -= _f(self.ins + left) - _f(self.ins) + _f(self.outs + right) - _f(self.outs)
+        side = self.classes + 1
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(codes))))
+        counts = np.bincount(of * (2 * side) + codes, weights=n, minlength=len(starts) * 2 * side).reshape(-1, 2, side)
+        left, right = counts[:, 0], counts[:, 1]
+        before, after = left[:, : self.classes], right[:, : self.classes]
+        gain += _f(self.own + before + after) - _f(self.own + before) - _f(self.own + after) + _f(self.own)
+        outs, ins = self.outs + before, self.ins + after
+        gain -= _f(outs + right.sum(axis=1, keepdims=True)) - _f(outs) + _f(ins + left.sum(axis=1, keepdims=True)) - _f(ins)
         return np.argmax(gain, axis=1)
 
 
