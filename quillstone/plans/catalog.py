@@ -230,7 +230,7 @@ def citation_closure(spark, d):
     return claims.join(cited, "o_orderkey", "left_anti").union(cited.join(claims, "o_orderkey", "left_anti"))
 
 
-@query("""SELECT p_partkey, least(16000, 3 * greatest(0, p_size * 200 - 256 - 512)) AS ranker_limit, length(p_name) + p_size * 40 <= least(16000, 3 * greatest(0, p_size * 200 - 1024 - 512)) AS fits, greatest(320, 64 + (23 * p_size * 8 * 2 + 99) // 100 + 256) AS response_tokens, 2 * (p_size + p_partkey % 120) <= 256 AS plan_fits, strlen(p_name) AS conservative_tokens FROM part""")
+@query("""SELECT p_partkey, least(16000, 3 * greatest(0, p_size * 200 - 256 - 512)) AS ranker_limit, length(p_name) + p_size * 40 <= least(16000, 3 * greatest(0, p_size * 200 - 1024 - 512)) AS fits, CAST(greatest(320, 64 + (23 * p_size * 8 * 2 + 99) // 100 + 256) AS BIGINT) AS response_tokens, 2 * (p_size + p_partkey % 120) <= 256 AS plan_fits, strlen(p_name) AS conservative_tokens FROM part""")
 def request_budget(spark, d):
     size, context = F.col("p_size"), F.col("p_size") * 200
     return _table(spark, d, "part").select(

@@ -139,7 +139,7 @@ def heading_terms(spark, d):
 
 
 @query("""WITH RECURSIVE s AS (SELECT conv_id, turn, repeat('This is sentence ' || conv_id || '. ', 60) AS text, length('This is sentence ' || conv_id || '. ') AS one FROM conversations)
- SELECT conv_id, turn, CAST(0 AS INTEGER) AS omitted, CAST(ceil(60.0 / ((600 + 1) // one)) AS INTEGER) AS n, least(60, (600 + 1) // one) * one - 1 AS first_chars FROM s""")
+ SELECT conv_id, turn, CAST(0 AS INTEGER) AS omitted, CAST(ceil(60.0 / ((600 + 1) // one)) AS INTEGER) AS n, CAST(least(60, (600 + 1) // one) * one - 1 AS INTEGER) AS first_chars FROM s""")
 def quote_segments(spark, d):
     rows = table(spark, d, "conversations").selectExpr("concat(conv_id, ':', turn) AS id", "conv_id", "turn", "repeat(concat('This is sentence ', conv_id, '. '), 60) AS text")
     found = contracts.quotes(rows, "id", "text").join(rows.select("id", "conv_id", "turn"), "id")

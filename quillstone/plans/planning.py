@@ -111,7 +111,7 @@ def structural_answers(spark, d):
     return a.join(r, "p_partkey").join(planning.lengths_valid(rows, "p_partkey", "u", F.col("most")).withColumnRenamed("valid", "within"), "p_partkey")
 
 
-@query("SELECT p_partkey, least(8, greatest(0, (p_size * 100 - 300) // (p_size + 3))) AS allowance, CASE WHEN least(384, greatest(0, p_size * 2000 // (23 * 6))) >= 120 THEN least(384, greatest(0, p_size * 2000 // (23 * 6))) END AS ceiling FROM part")
+@query("SELECT p_partkey, CAST(least(8, greatest(0, (p_size * 100 - 300) // (p_size + 3))) AS BIGINT) AS allowance, CAST(CASE WHEN least(384, greatest(0, p_size * 2000 // (23 * 6))) >= 120 THEN least(384, greatest(0, p_size * 2000 // (23 * 6))) END AS BIGINT) AS ceiling FROM part")
 def admitted_budgets(spark, d):
     size = F.col("p_size")
     return table(spark, d, "part").select("p_partkey", planning.largest_allowance(size * 100 - 300, size + 3, F.lit(8)).alias("allowance"), planning.admitted_ceiling(size * 20, F.lit(6), F.lit(384), 120).alias("ceiling"))
