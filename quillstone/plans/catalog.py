@@ -391,3 +391,4 @@ from quillstone.plans import rules  # noqa: E402, F401
 from quillstone.plans import files  # noqa: E402, F401
 from quillstone.plans import furniture as _furniture  # noqa: E402, F401
 from quillstone.plans import claims  # noqa: E402, F401
+from quillstone.plans import models  # noqa: E402, F401
