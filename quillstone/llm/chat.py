@@ -109,9 +109,11 @@ def chat_digests(turns: DataFrame, template: Template = LLAMA_LIKE) -> DataFrame
     """What format_chats wrote, read back from its strings and segments: one row for each conversation."""
     t = template
     chats = format_chats(turns, t)
-    told = F.array_join(F.transform(read_back(F.col("formatted"), t), lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    # Bound once: what is read back is used twice below.
+    chats = chats.select("conv_id", "valid", "segments", F.length("formatted").cast("long").alias("formatted_chars"), read_back(F.col("formatted"), t).alias("back"))
+    told = F.array_join(F.transform("back", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     learned = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], t)), "")
     return (
-        chats.select("conv_id", F.size(read_back(F.col("formatted"), t)).cast("long").alias("n_turns"), told.alias("told"), learned.alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
+        chats.select("conv_id", F.size("back").cast("long").alias("n_turns"), told.alias("told"), learned.alias("learned"), "formatted_chars", "valid")
         .select("conv_id", "n_turns", F.sha2("told", 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars", "valid")
     )
