@@ -21,21 +21,26 @@ def qualifies(text: str) -> bool:
     return text.lstrip(" \t\r\n\f\v ([").lower().startswith(QUALIFIERS)
 
 
+_NEXT = re.compile(r"\s*(\S?)")
+
+
 def sentence_ends(text: str) -> list[int]:
     """Where the sentences of a text end, behind their marks. A text that stops without one has its tail left over."""
     out = []
-    for m in _END.finditer(text):
-        before = text[: m.start()]
-        word = re.search(r"\S*$", before)[0].lstrip("(['\"“‘").lower()
-        after = text[m.end() :].lstrip()
-        if text[m.start()] == ".":
+    first = re.search(r"\w", text)
+    for m in _END.finditer(text) if first else ():
+        at = m.start()
+        if at <= first.start():
+            continue
+        before = text[max(0, at - 60) : at]  # no abbreviation is longer
+        raw = re.search(r"\S*$", before)[0]
+        word, after = raw.lstrip("(['\"“‘").lower(), _NEXT.match(text, m.end())[1]
+        if text[at] == ".":
             if before.endswith(".") or word in ABBREVIATIONS or re.fullmatch(r"[^\W\d_]", word) or re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", word):
                 if after:
                     continue
-            if after[:1].islower() or re.fullmatch(r"[0-9]{1,3}", word) and not before.strip(word).strip():
+            if after.islower() or re.fullmatch(r"[0-9]{1,3}", word) and at - len(word) <= first.start():
                 continue
-        if not re.search(r"\w", before):
-            continue
         out.append(m.end())
     return out
 

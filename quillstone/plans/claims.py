@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.operators import claims, contracts
+from quillstone.operators.rounds import settle
 from quillstone.plans.registry import query, table
 
 _RELATIONS = ("<", "<=", ">", ">=", "=", "!=")
@@ -76,9 +77,8 @@ def _contracts(spark, d):
     clause = rows.select("l_orderkey", "n", F.expr(_CLAUSE).alias("c"))
     text = F.concat(F.expr(_OPENING), F.lit("\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "c"))), lambda r: r["c"]), "\n"))
     blocks = clause.groupBy("l_orderkey").agg(text.alias("text")).selectExpr("concat('', l_orderkey) AS document_id", "1 AS page_number", "0 AS block_index", "concat('b', l_orderkey) AS block_id", "text")
-    lines = contracts.source_lines(blocks)
-    found = contracts.clauses(lines)
-    return blocks, lines, found
+    lines = settle(contracts.source_lines(blocks))
+    return blocks, lines, settle(contracts.clauses(lines))  # both are read several times
 
 
 _EXPECTED = f"""c AS (SELECT concat('', l_orderkey) AS document_id, l_orderkey, n, {_CLAUSE} AS text, {_TITLE} AS heading FROM {_LINES}),
