@@ -193,9 +193,10 @@ def recent_runs(spark, d):
     return lineage.recent(_table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def runs_without_child(spark, d):
-    return _table(spark, d, "customer").select("c_custkey").join(_table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+    children = _table(spark, d, "orders").where("o_orderstatus = 'P'")
+    return _table(spark, d, "customer").select("c_custkey").join(children, F.col("o_custkey") == F.col("c_custkey"), "left_anti")
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
@@ -325,10 +326,11 @@ def paraphrase_checks(spark, d):
     return _sample(spark, d).select("doc_id", "line_no", T.clipped(F.col("line"), 11).alias("clipped"), F.array_join(T.paraphrase_violations(F.col("line")), ",").alias("broken"))
 
 
-@query("SELECT event_type, CAST(sum(strlen(props)) AS BIGINT) AS bytes, sum(strlen(props)) <= 262144 AS fits FROM events GROUP BY 1")
+@query("SELECT conv_id, CAST(sum(strlen(repeat(text, 1 + conv_id % 200))) AS BIGINT) AS bytes, sum(strlen(repeat(text, 1 + conv_id % 200))) <= 262144 AS fits FROM conversations GROUP BY 1")
 def corrected_bytes(spark, d):
-    g = _table(spark, d, "events").groupBy("event_type").agg(F.sum(F.octet_length("props")).cast("long").alias("bytes"))
-    return g.select("event_type", "bytes", (F.col("bytes") <= 262144).alias("fits"))
+    pages = _table(spark, d, "conversations").selectExpr("conv_id", "repeat(text, cast(1 + conv_id % 200 AS int)) AS text")
+    g = pages.groupBy("conv_id").agg(F.sum(F.octet_length("text")).cast("long").alias("bytes"))
+    return g.select("conv_id", "bytes", (F.col("bytes") <= 262144).alias("fits"))
 
 
 @query("SELECT l_orderkey, min(p_size) AS first_page, max(p_size) AS last_page FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
@@ -337,9 +339,13 @@ def ranker_candidates(spark, d):
     return cited.join(_table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").groupBy("l_orderkey").agg(F.min("p_size").alias("first_page"), F.max("p_size").alias("last_page"))
 
 
-@query("SELECT conv_id, count(*) = count(DISTINCT turn) AND min(turn) = 0 AND max(turn) = count(*) - 1 AS contiguous FROM conversations GROUP BY 1")
+_SHIFTED = "CASE WHEN conv_id % 4 = 1 AND turn > 0 THEN turn + 1 WHEN conv_id % 4 = 2 AND turn = 2 THEN 1 ELSE turn END"
+
+
+@query(f"SELECT conv_id, count(*) = count(DISTINCT turn) AND min(turn) = 0 AND max(turn) = count(*) - 1 AS contiguous FROM (SELECT conv_id, {_SHIFTED} AS turn FROM conversations) GROUP BY 1")
 def contiguous_blocks(spark, d):
-    return _table(spark, d, "conversations").groupBy("conv_id").agg(((F.count("*") == F.countDistinct("turn")) & (F.min("turn") == 0) & (F.max("turn") == F.count("*") - 1)).alias("contiguous"))
+    rows = _table(spark, d, "conversations").selectExpr("conv_id", f"{_SHIFTED} AS turn")
+    return rows.groupBy("conv_id").agg(((F.count("*") == F.countDistinct("turn")) & (F.min("turn") == 0) & (F.max("turn") == F.count("*") - 1)).alias("contiguous"))
 
 
 _NOISE = ("... --- ***", "~~ 5 ~~", "a . - . - . -", "< {n} |", "call (703) 696-{n}59?", "+1 555 12{n}", "703 696 4959", "$ 5", "1 | 2", "3 kg", "3 m .", "ok", "?? !! |", "1 .", "03/10/03 A-{n}", "")

@@ -275,9 +275,12 @@ def corrected_pages(spark, d):
     return ledger.with_corrections(pages.drop("turn"), pages.where("(document_id + turn) % 3 = 0").selectExpr("document_id", "page_number", "concat('better ', turn) AS text"))
 
 
-@query("SELECT o_custkey AS handoff_root, count(*) AS children, count(*) > 0 AS exists_any FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+@query("SELECT c_custkey AS run_id, count(o_orderkey) AS artifacts, count(o_orderkey) > 0 AS has_any FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY 1")
 def artifact_counts(spark, d):
-    return table(spark, d, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("handoff_root")).agg(F.count("*").alias("children")).withColumn("exists_any", F.col("children") > 0)
+    made = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("run_id"))
+    counted = made.groupBy("run_id").agg(F.count("*").alias("n"))
+    runs = table(spark, d, "customer").select(F.col("c_custkey").alias("run_id"))
+    return runs.join(counted, "run_id", "left").select("run_id", F.coalesce("n", F.lit(0)).alias("artifacts"), F.col("n").isNotNull().alias("has_any"))
 
 
 @query("SELECT provider, jobs FROM (SELECT c_mktsegment AS provider, count(*) AS jobs FROM customer WHERE c_acctbal > 0 GROUP BY 1) ORDER BY provider LIMIT 2")
