@@ -158,3 +158,21 @@ def test_both_paths_of_decontamination_judge_each_row_by_itself(spark):
     assert one == two and len(one) == len(rows)
     hit = [(r[0], r[2]) for r in one if r[5]]
     assert ordered(hit) == ordered([(None, 14), (None, 14), (1, 14), (2, 28)])
+
+
+def test_every_stage_takes_empty_tables_and_clashing_columns(spark, tmp_path, labelled):
+    write(spark, tmp_path, "labels", [(i, int(not poor), 0) for i, poor, _ in labelled if i < 500], "doc_id long, quality int, toxic int")
+    write(spark, tmp_path, "benchmark", [("1", " ".join(ITEM))], "item_id string, text string")
+    wide = SCHEMA + ", row string, rep string, quality string, t string, hits string, own0 string, kept_text string, component_id string"
+    extra = ("x",) * 8
+    for name, run in corpus_pipeline.STAGES:
+        empty = run(spark, spark.createDataFrame([], wide), str(tmp_path))
+        assert empty.count() == 0, name
+        full = run(spark, spark.createDataFrame([row(1, some(60)) + extra, row(None, None) + extra, (None,) * 13], wide), str(tmp_path))
+        assert full.count() >= 1 and (name == "bpe" or full.columns == list(corpus_pipeline.COLUMNS)), name
+
+
+def test_without_labels_every_row_stays(spark, tmp_path):
+    write(spark, tmp_path, "labels", [], "doc_id long, quality int, toxic int")
+    rows = [row(1, some(60)), row(None, None), row(2, ["moron"])]
+    assert ordered(stage(spark, tmp_path, 0, rows)) == ordered(rows)
