@@ -91,7 +91,7 @@ def wire_version(s: Column) -> Column:
 AROUND = ",;:!?.\"'“”‘’\\[\\]{}()"
 AROUND_PHONE = ",;:!\"'“”‘’"
 _SPACES = BLANK[1:-2]
-_FIRST, _LAST = f"(?<![^{_SPACES}])[{AROUND}]*", f"[{AROUND}]*(?![^{_SPACES}])"
+_FIRST, _LAST = f"(?:^|[{_SPACES}])[{AROUND}]*", f"[{AROUND}]*(?![^{_SPACES}])"
 
 
 def tokens(s: Column) -> Column:
@@ -100,19 +100,20 @@ def tokens(s: Column) -> Column:
 
 
 def email_marker(s: Column) -> Column:
-    """One regular expression over the whole text, as for the other markers: no array of tokens is made."""
-    return s.rlike(f"{_FIRST}[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\\.)+[A-Za-z0-9]+{_LAST}")
+    """One regular expression over the whole text, as for the other markers: no array of tokens is made. A character that every
+    match holds is looked for first, as most texts have none."""
+    return s.contains("@") & s.rlike(f"{_FIRST}[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\\.)+[A-Za-z0-9]+{_LAST}")
 
 
 def numeric_date_marker(s: Column) -> Column:
     """Three fields of one to four digits with / or - between."""
-    return s.rlike(f"{_FIRST}[0-9]{{1,4}}(?:/[0-9]{{1,4}}/|-[0-9]{{1,4}}-)[0-9]{{1,4}}{_LAST}")
+    return s.rlike("[0-9][/-][0-9]") & s.rlike(f"{_FIRST}[0-9]{{1,4}}(?:/[0-9]{{1,4}}/|-[0-9]{{1,4}}-)[0-9]{{1,4}}{_LAST}")
 
 
 def reference_marker(s: Column) -> Column:
     """5 to 64 ASCII letters, digits and _ / ? . - that start with a letter, with two digits and one of / and -."""
     solid = f"[^{_SPACES}]*"
-    return s.rlike(f"{_FIRST}(?={solid}[0-9]{solid}[0-9])(?={solid}[/-])[A-Za-z][A-Za-z0-9_/?.-]{{4,63}}(?<![.?]){_LAST}")
+    return s.rlike("[0-9]") & s.rlike(f"{_FIRST}(?={solid}[0-9]{solid}[0-9])(?={solid}[/-])[A-Za-z][A-Za-z0-9_/?.-]{{4,63}}(?<![.?]){_LAST}")
 
 
 def material_marker(s: Column) -> Column:
@@ -238,7 +239,7 @@ def metadata_key(s: Column) -> Column:
 def named_date_marker(s: Column) -> Column:
     """Month, day and year in three tokens that follow each other, marks around them aside."""
     between = f"[{AROUND}]*[{_SPACES}]+[{AROUND}]*"
-    return s.rlike(f"{_FIRST}(?i:{'|'.join(MONTHS)}){between}[0-9]{{1,2}}{between}(?:[0-9]{{2}}|[0-9]{{4}}){_LAST}")
+    return s.rlike("[0-9]") & s.rlike(f"{_FIRST}(?i:{'|'.join(MONTHS)}){between}[0-9]{{1,2}}{between}(?:[0-9]{{2}}|[0-9]{{4}}){_LAST}")
 
 
 def date_stamp(s: Column) -> Column:
@@ -286,14 +287,14 @@ def phone_marker(s: Column, question: bool = True) -> Column:
     around = f"[{AROUND_PHONE}{'?' if question else ''}]*"
     token = f"{around}[0-9+().-]+{around}"
     # Stretches of such tokens are rare and short; only they are taken apart.
-    found = F.regexp_extract_all(s, F.lit(f"(?<![^{_SPACES}])({token}(?:[{_SPACES}]+{token})*)(?![^{_SPACES}])"), F.lit(1))
+    found = F.regexp_extract_all(s, F.lit(f"(?:^|[{_SPACES}])({token}(?:[{_SPACES}]+{token})*)(?![^{_SPACES}])"), F.lit(1))
 
     def dials(stretch: Column) -> Column:
         w = F.transform(words(stretch), lambda x: F.regexp_replace(x, "[^0-9+().-]", ""))
         groups = F.flatten(F.transform(w, lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size(w) - i)), lambda k: F.array_join(F.slice(w, i + 1, k), ""))))
         return F.exists(groups, lambda x: F.length(F.regexp_replace(x, "[^0-9]", "")).between(7, 15) & x.rlike("[+()-]"))
 
-    return F.exists(found, dials)
+    return F.when(s.rlike("[0-9]"), F.exists(found, dials)).otherwise(F.lit(False))
 
 
 def label_value(s: Column) -> Column:
