@@ -5,7 +5,7 @@ import pytest
 from quillstone.plans import catalog
 
 
-@pytest.mark.parametrize("name", ["contract_renderings", "contract_key_terms", "contract_mismatches"])
+@pytest.mark.parametrize("name", ["contract_renderings", "contract_key_terms", "contract_mismatches", "contract_records"])
 def test_no_table_goes_to_the_driver(spark, name):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
     try:
