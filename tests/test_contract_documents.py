@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +40,22 @@ def test_key_terms_shuffle_once(spark):
     assert shuffles(spark, "contract_key_terms") == (1, 0, 1)
 
 
+def test_renderings_shuffle_once(spark):
+    assert shuffles(spark, "contract_renderings") == (1, 0, 1)
+
+
+def test_documents_run_through_batches():
+    """A document whose blocks lie in several batches is one, and a slice's last document isn't lost."""
+    rows = [("a", 1, "1. Insurance"), ("a", 1, "It is kept."), ("b", 1, "1. Parties"), ("b", 2, "A and B."), ("b", 3, "2. Scope"), ("c", 1, "")]
+    schema = pa.schema([("document_id", pa.string()), ("page_number", pa.int32()), ("text", pa.string())])
+    for cuts in ([6], [1, 5], [3, 3], [4, 1, 1], [1] * 6):
+        for most in (1, 2, 100):
+            left = iter(rows)
+            batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, next(left))) for _ in range(n)], schema) for n in cuts]
+            found = [x for group in contracts._by_document(iter([batches[0].slice(0, 0), *batches]), most) for x in group]
+            assert found == [("a", [(1, "1. Insurance", None), (1, "It is kept.", None)]), ("b", [(1, "1. Parties", None), (2, "A and B.", None), (3, "2. Scope", None)]), ("c", [(1, "", None)])]
+
+
 def test_shapes_told_at_once_are_the_full_ones():
     r = random.Random(3)
     for text in [*(some_line(r) for _ in range(20000)), *(f"{a} {b} {c} {d}" for a in WORDS for b in ("of", "agrees", "The", "5") for c in ("to", "made", "X") for d in ("part 5.", "Scope", "...", "x 7"))]:
